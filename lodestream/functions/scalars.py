@@ -42,14 +42,15 @@ def local_timestamp(text: Column) -> Column:
     """
     compact = text.rlike(r"^\s*\d{14}\s*$")
     spread = F.when(compact, F.regexp_replace(text, r"(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)", "$1 $2 $3 $4 $5 $6")).otherwise(text)
-    parts = F.regexp_extract_all(spread, F.lit(r"(\d+)"), F.lit(1))
 
-    def part(i: int) -> Column:
-        return F.try_element_at(parts, F.lit(i)).try_cast("int")
-
-    year = F.when(part(1) < 1000, part(1) + 1911).otherwise(part(1))
-    clock = F.coalesce(part(4), F.lit(0))
-    hour = F.when(text.contains("下午"), clock % 12 + 12).when(text.contains("上午"), clock % 12).otherwise(clock)
-    second = F.concat_ws(".", F.coalesce(F.try_element_at(parts, F.lit(6)), F.lit("0")), F.try_element_at(parts, F.lit(7))).try_cast("decimal(8,6)")
-    made = F.call_function("try_make_timestamp_ntz", year, part(2), part(3), hour, F.coalesce(part(5), F.lit(0)), second)
-    return F.when(text.rlike(r"^\s*\d[\d\s/\-T:.年月日上下午]*$"), made)
+    def made(parts: Column) -> Column:
+        part = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("int")
+        year = F.when(part(1) < 1000, part(1) + 1911).otherwise(part(1))
+        clock = F.coalesce(part(4), F.lit(0))
+        hour = F.when(text.contains("下午"), clock % 12 + 12).when(text.contains("上午"), clock % 12).otherwise(clock)
+        second = F.concat_ws(".", F.coalesce(F.try_element_at(parts, F.lit(6)), F.lit("0")), F.try_element_at(parts, F.lit(7))).try_cast("decimal(8,6)")
+        return F.call_function("try_make_timestamp_ntz", year, part(2), part(3), hour, F.coalesce(part(5), F.lit(0)), second)
+
+    # the digits are taken apart once: a lambda's argument isn't computed again for each use
+    digits = F.array(F.regexp_extract_all(spread, F.lit(r"(\d+)"), F.lit(1)))
+    return F.when(text.rlike(r"^\s*\d[\d\s/\-T:.年月日上下午]*$"), F.element_at(F.transform(digits, made), 1))

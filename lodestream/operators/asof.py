@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions.scalars import micros
-from lodestream.session import partitions
+from lodestream.session import cut_lineage, partitions
 
 #: Hot slices are at most rows / max_group; from this many on, the join with them is shuffled.
 BROADCAST_ROWS = 100_000
@@ -45,6 +45,7 @@ def current_state_versions(
         .agg(F.max("entry").alias("entry"))
         .withColumn("slice", F.floor(F.col("at") / width))
     )
+    best = cut_lineage(best, "states")
     within = Window.partitionBy("key", "slice").orderBy("at")
     running = best.withColumn("running", F.max("entry").over(within))
     ends = running.groupBy("key", "slice").agg(F.max("entry").alias("top"))
@@ -74,9 +75,10 @@ def as_of(events: DataFrame, versions: DataFrame, *, slice_seconds: int = 86_400
     buckets = max(partitions(spark), -(-n_events // max_group))
 
     # The state carried into each slice that has events.
-    ends = versions.groupBy("key", "slice").agg(F.max_by("state", "at").alias("last"), F.lit(False).alias("asked"))
-    asked = counts.select("key", "slice", F.lit(None).cast(state_type).alias("last"), F.lit(True).alias("asked"))
-    steps = ends.unionByName(asked).groupBy("key", "slice").agg(F.max("last").alias("last"), F.max("asked").alias("asked"))
+    # (A join, not a union and a grouping: united children that are partitioned alike are taken
+    # to be aligned, which they aren't once their partitions were coalesced one by one.)
+    ends = versions.groupBy("key", "slice").agg(F.max_by("state", "at").alias("last"))
+    steps = ends.join(counts.select("key", "slice", F.lit(True).alias("asked")), ["key", "slice"], "full")
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("carried", F.last("last", ignorenulls=True).over(before)).filter("asked")
     carried = steps.filter("carried is not null").select("key", "slice", (F.col("slice") * width).cast("bigint").alias("at"), F.col("carried").alias("state"), F.lit(0).alias("own"))
