@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.scalars import micros, whole_number
 from lodestream.llm.cooccur import pair_supports
+from lodestream.llm.leak import leaked_items
 from lodestream.llm.nearest import nearest_in_time
 from lodestream.llm.resolve import closest_entries, unmatched
 from lodestream.llm.sample import extend_registry, stable_sample
@@ -68,8 +69,14 @@ def p7_sample(spark: SparkSession, base: str) -> DataFrame:
     return chosen.select("posting_row_id", F.col("id").alias("job_no"), "epoch", F.round("rate", 9).alias("rate"))
 
 
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents that contain passages of test items, with the items."""
+    items = load(spark, base, "eval_item").withColumn("least", F.when(F.lower("lang").startswith("en"), 100).otherwise(50))
+    return leaked_items(load(spark, base, "documents"), items, doc_id="doc_id", text="text", item_id="item_id", item_text="text", least=F.col("least"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_pairs, p5_found, p7_sample)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_pairs, p5_found, p7_sample, p8_found)}
 
 
 def _number(column: str) -> str:
