@@ -9,6 +9,7 @@ from lodestream.functions.scalars import micros, whole_number
 from lodestream.llm.cooccur import pair_supports
 from lodestream.llm.leak import leaked_items
 from lodestream.llm.nearest import nearest_in_time
+from lodestream.llm.quality import document_statistics, outlier_scores
 from lodestream.llm.resolve import closest_entries, unmatched
 from lodestream.llm.sample import extend_registry, stable_sample
 from lodestream.session import cut_lineage, load
@@ -75,8 +76,19 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return leaked_items(load(spark, base, "documents"), items, doc_id="doc_id", text="text", item_id="item_id", item_text="text", least=F.col("least"))
 
 
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents whose text as a whole is no running prose."""
+    scores = outlier_scores(load(spark, base, "documents"), load(spark, base, "common_word"), load(spark, base, "doc_label"), doc_id="doc_id", text="text", label="label")
+    return scores.filter("score > 0").select("doc_id").distinct()
+
+
+def p10_statistics(spark: SparkSession, base: str) -> DataFrame:
+    """The figures on each document's text."""
+    return document_statistics(load(spark, base, "documents"), load(spark, base, "common_word"), doc_id="doc_id", text="text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_pairs, p5_found, p7_sample, p8_found)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_pairs, p5_found, p7_sample, p8_found, p10_found, p10_statistics)}
 
 
 def _number(column: str) -> str:
