@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.functions.scalars import micros, whole_number
 from lodestream.llm.cooccur import pair_supports
 from lodestream.llm.leak import leaked_items
+from lodestream.llm.mix import mix_sources, share_report
 from lodestream.llm.nearest import nearest_in_time
 from lodestream.llm.quality import document_statistics, outlier_scores
 from lodestream.llm.resolve import closest_entries, unmatched
@@ -76,6 +77,16 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return leaked_items(load(spark, base, "documents"), items, doc_id="doc_id", text="text", item_id="item_id", item_text="text", least=F.col("least"))
 
 
+def p9_mix(spark: SparkSession, base: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return mix_sources(load(spark, base, "documents"), load(spark, base, "mix_target"), doc_id="doc_id", text="text", source="source")
+
+
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The shares of total tokens that the mixture's sources actually reach."""
+    return share_report(p9_mix(spark, base), load(spark, base, "mix_target"))
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     """Documents whose text as a whole is no running prose."""
     scores = outlier_scores(load(spark, base, "documents"), load(spark, base, "common_word"), load(spark, base, "doc_label"), doc_id="doc_id", text="text", label="label")
@@ -88,7 +99,7 @@ def p10_statistics(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_pairs, p5_found, p7_sample, p8_found, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_pairs, p5_found, p7_sample, p8_found, p9_mix, p9_shares, p10_found, p10_statistics)}
 
 
 def _number(column: str) -> str:
