@@ -201,7 +201,7 @@ def leaked_items(
     n = items.count()
     blocks = -(-n // block_items)
     schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}"
-    source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("trim(text) <> ''")
+    source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(r"(?U)\S"))
     wanted = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"), least.cast("int").alias("least")).filter("text is not null and least is not null")
     found = None
     for k in range(max(1, blocks)):

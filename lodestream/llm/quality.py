@@ -94,7 +94,7 @@ def document_statistics(documents: DataFrame, common: DataFrame, *, doc_id: str,
     Texts are read whole. common: (lang, word), counted to be at most max_words.
     """
     known = [(r.lang, r.word) for r in bounded_rows(common.select("lang", "word").filter("word is not null"), max_words, "the list of common words")]
-    source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("trim(text) <> ''")
+    source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(r"(?U)\S"))
     id_type = documents.schema[doc_id].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,7 +143,7 @@ near as (
 seen as (select job_no, min(epoch) as epoch from rows where job_no is not null group by job_no),
 sizes as (select epoch, count(*) as n from seen group by epoch),
 rates as (
-    select epoch, coalesce(least(greatest(100.0::double * count(*) over w / sum(n) over w, 0.01::double), 1.0::double), 1.0::double) as rate
+    select epoch, case when count(*) over w = 0 then 1.0::double else least(greatest(100.0::double * count(*) over w / sum(n) over w, 0.01::double), 1.0::double) end as rate
     from sizes window w as (order by epoch rows between unbounded preceding and 1 preceding)
 )
 select posting_row_id, job_no, s.epoch, round(rate, 9) as rate from rows join seen s using (job_no) join rates r on r.epoch = s.epoch

@@ -30,7 +30,7 @@ def frozen_rates(first_seen: DataFrame, *, target_per_epoch: float, floor: float
     sizes = first_seen.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     rate = F.lit(float(target_per_epoch)) * F.count("n").over(before) / F.sum("n").over(before)
-    return sizes.select("epoch", F.coalesce(F.least(F.greatest(rate, F.lit(float(floor))), F.lit(1.0)), F.lit(1.0)).alias("rate"))
+    return sizes.select("epoch", F.when(rate.isNull(), 1.0).otherwise(F.least(F.greatest(rate, F.lit(float(floor))), F.lit(1.0))).alias("rate"))
 
 
 def first_seen(df: DataFrame, *, identifier: Column, epoch: Column) -> DataFrame:
