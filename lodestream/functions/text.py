@@ -168,3 +168,10 @@ def explanation(phrases: Sequence[tuple[Column, Column | str]], default: str, mo
 def safe_cell(text: Column) -> Column:
     """A spreadsheet cell that can't be taken for a formula."""
     return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
+
+
+def bigram_terms(normalized: Column) -> Column:
+    """Terms for keyword search, repeated ones included: ASCII tokens, and pairs of neighbouring Han characters."""
+    runs = F.regexp_extract_all(normalized, F.lit(HAN_RUN), F.lit(1))
+    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(ngrams(r, 2))))
+    return F.concat(F.regexp_extract_all(normalized, F.lit(ASCII_UNIT), F.lit(1)), pairs)
