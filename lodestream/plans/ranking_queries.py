@@ -11,7 +11,7 @@ from lodestream.operators import evaluation, joins, retrieval, scoring
 from lodestream.plans.core_problems import number_sql
 from lodestream.plans.event_queries import WITH_GRADED, graded
 from lodestream.plans.registry import Registry
-from lodestream.session import load
+from lodestream.session import cut_lineage, load
 
 registry = Registry()
 queries, oracle_sql, query = registry.queries, registry.oracle_sql, registry.query
@@ -172,7 +172,7 @@ qi as (select ks, posting, count(*) as n, sum(cast(grade > 0 as int)) as pos fro
 
 def _behaviour(spark: SparkSession, base: str) -> DataFrame:
     """Graded exposures with what is known of query, posting and company."""
-    rows = graded(spark, base).withColumn("pos", (F.col("grade") > 0).cast("int"))
+    rows = cut_lineage(graded(spark, base).withColumn("pos", (F.col("grade") > 0).cast("int")), "graded")
     sums = lambda p: (F.count(F.lit(1)).alias(f"{p}_n"), F.sum("pos").alias(f"{p}_pos"), F.sum("grade").alias(f"{p}_grade"))
     item = rows.groupBy("posting").agg(*sums("item"))
     owner = load(spark, base, "job_posting").select(whole_number(F.col("`職缺編號`")).alias("posting"), F.col("`廠商編號`").alias("company")).filter("posting is not null").groupBy("posting").agg(F.max("company").alias("company"))
@@ -299,7 +299,7 @@ def _trained(spark: SparkSession, base: str):
 
     rows = _behaviour(spark, base)
     names = ["place", "item_rate_smoothed", "item_exposures_log", "owner_rate_smoothed"]
-    return rows, fit_lambdamart(rows, group="search_id", label="grade", features=names, trees=10)
+    return rows, fit_lambdamart(rows, group="search_id", label="grade", features=names, trees=10, sample_groups=4_000)
 
 
 @query()
