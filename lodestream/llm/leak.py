@@ -66,6 +66,16 @@ def minima(hashes: np.ndarray, bins: int) -> np.ndarray:
     return ordered[first]
 
 
+def met(hashes: np.ndarray, known: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The owners, one for each time that a hash is among those known (sorted, with their owners)."""
+    lo, hi = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+    some = np.flatnonzero(hi > lo)
+    sizes = hi[some] - lo[some]
+    if not len(some):
+        return owner[:0]
+    return owner[np.repeat(lo[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
 def surviving(length: int, share: int, q: int) -> int:
     """Shingles of a passage that are left at least, if at most one letter in `share` is replaced."""
     replaced = length // share
@@ -112,6 +122,12 @@ class Items:
                 self.stretch_item.append(own)
                 self.need.append(surviving(width, share, q))
         self.piece = max(self.piece, 4 * self.overlap)
+        # every shingle with the stretches that hold it, for exact containment
+        hashes = np.concatenate(self.stretches) if self.stretches else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(self.stretches)), [len(x) for x in self.stretches])
+        order = np.argsort(hashes, kind="stable")
+        self.held, self.holders = hashes[order], owner[order]
+        self.need_of, self.item_of = np.array(self.need, np.int64), np.array(self.stretch_item, np.int64)
         self.classes: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
 
     def size_class(self, n: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -141,19 +157,12 @@ class Items:
         if not len(hashes) or not self.stretches:
             return
         bins, known, owner = self.size_class(len(hashes))
-        sketch = minima(hashes, bins)
-        lo, hi = np.searchsorted(known, sketch, "left"), np.searchsorted(known, sketch, "right")
-        some = np.flatnonzero(hi > lo)
-        if not len(some):
+        candidates = np.zeros(len(self.stretches), bool)
+        candidates[met(minima(hashes, bins), known, owner)] = True
+        if not candidates.any():
             return
-        stretches = np.unique(np.concatenate([owner[lo[i] : hi[i]] for i in some]))
-        distinct = np.unique(hashes)
-        items = set()
-        for s in stretches:
-            at = np.searchsorted(distinct, self.stretches[s])
-            at[at == len(distinct)] = 0
-            if (distinct[at] == self.stretches[s]).sum() >= self.need[s]:
-                items.add(self.stretch_item[s])
+        shared = np.bincount(met(np.unique(hashes), self.held, self.holders), minlength=len(candidates))
+        items = set(self.item_of[candidates & (shared >= self.need_of)].tolist())
         for i in items - hit:
             if self._verified(codes, hashes, i):
                 hit.add(i)
