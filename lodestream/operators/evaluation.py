@@ -22,18 +22,18 @@ def ranking_metrics(df: DataFrame, *, group: str, score: str, grade: str, tie: s
     """
     by_score = Window.partitionBy(group).orderBy(F.desc_nulls_last(score), F.asc(tie))
     by_grade = Window.partitionBy(group).orderBy(F.desc_nulls_last(grade), F.asc(tie))
-    ranked = df.select(group, F.coalesce(F.col(grade), F.lit(0)).alias("g"), F.row_number().over(by_score).alias("place"), F.row_number().over(by_grade).alias("best_place"))
-    gain = lambda p: F.when(F.col(p) <= k, (F.pow(F.lit(2.0), F.col("g")) - 1) / F.log2(F.col(p) + 1.0)).otherwise(0.0)
-    good = (F.col("g") > 0) & (F.col("place") <= k)
-    first = F.min(F.when(good, F.col("place")))
-    sums = ranked.groupBy(group).agg(F.sum(gain("place")).alias("dcg"), F.sum(gain("best_place")).alias("ideal"), first.alias("first"), F.count_if(good).alias("good"))
+    ranked = df.select(group, F.coalesce(F.col(grade), F.lit(0)).alias("__g"), F.row_number().over(by_score).alias("__place"), F.row_number().over(by_grade).alias("__best"))
+    gain = lambda p: F.when(F.col(p) <= k, (F.pow(F.lit(2.0), F.col("__g")) - 1) / F.log2(F.col(p) + 1.0)).otherwise(0.0)
+    good = (F.col("__g") > 0) & (F.col("__place") <= k)
+    first = F.min(F.when(good, F.col("__place")))
+    sums = ranked.groupBy(group).agg(F.sum(gain("__place")).alias("__dcg"), F.sum(gain("__best")).alias("__ideal"), first.alias("__first"), F.count_if(good).alias("__good"))
     return sums.select(
         group,
-        F.round(F.coalesce(F.try_divide("dcg", "ideal"), F.lit(0.0)), 6).alias("ndcg"),
-        F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"),
-        (F.coalesce(F.col("first"), F.lit(0)) == 1).cast("double").alias("hit_1"),
-        F.col("first").isNotNull().cast("double").alias("hit_k"),
-        F.round(F.col("good") / F.lit(float(k)), 6).alias("precision"),
+        F.round(F.coalesce(F.try_divide("__dcg", "__ideal"), F.lit(0.0)), 6).alias("ndcg"),
+        F.round(F.coalesce(1.0 / F.col("__first"), F.lit(0.0)), 6).alias("mrr"),
+        (F.coalesce(F.col("__first"), F.lit(0)) == 1).cast("double").alias("hit_1"),
+        F.col("__first").isNotNull().cast("double").alias("hit_k"),
+        F.round(F.col("__good") / F.lit(float(k)), 6).alias("precision"),
     )
 
 
