@@ -175,3 +175,8 @@ def bigram_terms(normalized: Column) -> Column:
     runs = F.regexp_extract_all(normalized, F.lit(HAN_RUN), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(ngrams(r, 2))))
     return F.concat(F.regexp_extract_all(normalized, F.lit(ASCII_UNIT), F.lit(1)), pairs)
+
+
+def suppressed(query: Column, blocked: Column) -> Column:
+    """Whether one of a name's blocked phrases stands anywhere in the query."""
+    return F.coalesce(F.exists(blocked, lambda p: (p != "") & query.contains(p)), F.lit(False))

@@ -242,3 +242,26 @@ def limited_to(df: DataFrame, **allowed: DataFrame) -> DataFrame:
     for column, table in allowed.items():
         df = df.join(table.select(F.col(table.columns[0]).alias(column)), column, "left_semi")
     return df
+
+
+def unknown_values(items: DataFrame, alias_map: DataFrame, *, item: str, owner: str, fields: Sequence[str], split, fold, nothing) -> DataFrame:
+    """(item, owner, surface, field): pieces of packed fields that no name of the list is, each once per item.
+
+    split, fold and nothing are column functions: text -> array, text -> folded, text -> boolean.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), split(F.col(f"`{f}`")).alias("values")) for f in fields]))
+    pieces = items.select(F.col(item).alias("item"), F.col(owner).alias("owner"), each.alias("x")).select("item", "owner", "x.field", F.explode("x.values").alias("value"))
+    named = pieces.filter(~nothing(F.col("value"))).select("item", "owner", "field", fold(F.col("value")).alias("surface")).filter("surface <> ''")
+    return named.join(alias_map.select(F.col("alias").alias("surface")).distinct(), "surface", "left_anti").groupBy("item", "owner", "surface").agg(F.min("field").alias("field"))
+
+
+def lookup_aliases(queries: DataFrame, alias_map: DataFrame, *, query: str, units, named, bound: int = 200_000) -> DataFrame:
+    """(query, alias, node): names that occur in a query.
+
+    Queries and names meet by equality on a unit of the name, then `named` verifies; both
+    are column functions. A small list is broadcast, if it is counted to be small.
+    """
+    keys = alias_map.select("alias", "node", F.array_min(units(F.col("alias"))).alias("unit")).filter("unit is not null")
+    keys = F.broadcast(keys) if keys.limit(bound + 1).count() <= bound else keys
+    asked = queries.select(F.col(query).alias("query")).distinct().select("query", F.explode(units(F.col("query"))).alias("unit"))
+    return asked.join(keys, "unit").filter(named(F.col("query"), F.col("alias"))).select("query", "alias", "node")

@@ -75,7 +75,7 @@ def orphan_references(references: DataFrame, versions: DataFrame, *, exists: str
     to nothing and don't come out. versions: as from current_state_versions; exists: an SQL
     condition on a column `state`. All columns of references come out, repeated rows too.
     """
-    alive = lambda c: F.coalesce(F.expr(exists.replace("state.", f"{c}.")), F.lit(False))
+    alive = lambda c: F.col(c).isNotNull() & F.coalesce(F.expr(exists.replace("state.", f"{c}.")), F.lit(False))
     flips = versions.withColumn("alive", alive("state")).filter(F.col("alive") != alive("previous")).select("key", "slice", "at", F.struct("alive").alias("state"))
     flips = cut_lineage(flips, "flips")
     rows = references.filter("key is not null and at is not null").withColumn("day", F.floor(F.col("at") / DAY).cast("int"))

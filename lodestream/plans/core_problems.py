@@ -58,7 +58,7 @@ def posting_references(spark: SparkSession, base: str) -> DataFrame:
 def _orphans(spark: SparkSession, base: str) -> DataFrame:
     postings = load(spark, base, "job_posting")
     versions = current_state_versions(postings, key=whole_number(F.col("`職缺編號`")), **posting_states(postings))
-    return orphan_references(posting_references(spark, base), versions, exists="state.row_status <> 'removed'").distinct()
+    return orphan_references(posting_references(spark, base), versions, exists="coalesce(state.row_status, '') <> 'removed'").distinct()
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
@@ -127,7 +127,7 @@ refs as (select distinct table_name, record_id, moment, {number_sql("text")} as
 
 ORPHANS = f"""with {STATES}, {REFERENCES},
 ranked as ({IN_FORCE.format(keep="e.table_name, e.record_id, e.moment, e.key", of="refs")}),
-orphans as (select table_name, record_id, moment, key from ranked where n = 1 and (row_status is null or row_status = 'removed'))
+orphans as (select table_name, record_id, moment, key from ranked where n = 1 and (posting_row_id is null or row_status = 'removed'))
 """
 
 
