@@ -37,7 +37,9 @@ def build(postings: DataFrame, nodes: DataFrame, *, item: str, owner: str, field
     aliases = cut_lineage(graph.aliases_of(nodes, node="id", label="label", aliases="aliases", fold=fold), "aliases")
     mentions = cut_lineage(extract(postings, aliases, item=item, owner=owner, fields=fields), "mentions")
     edges = graph.edges_of(mentions.select("item", "node", "field", "level", "confidence"), source="item", target="node", kind="REQUIRES", order=F.col("confidence"))
-    baskets = mentions.groupBy("item").agg(F.max("owner").alias("owner"), F.collect_set("node").alias("skills"))
+    held = mentions.groupBy("item").agg(F.collect_set("node").alias("skills"))
+    # postings without a skill count, too: they are what chance is measured against
+    baskets = postings.groupBy(F.col(item).alias("item")).agg(F.max(owner).alias("owner")).filter("item is not null").join(held, "item", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
     relations = graph.relation_candidates(baskets, basket="item", owner="owner", items="skills", least_jobs=least_jobs, least_companies=least_companies, least_lift=least_lift, least_npmi=least_npmi, neighbours=neighbours)
     jobs = postings.select(F.col(item).cast("string").alias("id")).filter("id is not null").distinct().select("id", F.lit("Job").alias("type"), F.lit("active").alias("status"), F.lit("").alias("label"), F.array().cast("array<string>").alias("aliases"))
     every = nodes.select("id", "type", "status", "label", "aliases").unionByName(jobs)
