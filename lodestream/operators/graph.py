@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators.windows import mutual_neighbours
-from lodestream.session import bounded_rows, cut_lineage
+from lodestream.session import bounded_rows, broadcast_if_small, cut_lineage
 
 # Pairs of names that must never be taken for one.
 NEVER_MERGED = (("java", "javascript"), ("c", "c++"), ("c", "c#"), ("next.js", "react"))
@@ -262,6 +262,5 @@ def lookup_aliases(queries: DataFrame, alias_map: DataFrame, *, query: str, unit
     are column functions. A small list is broadcast, if it is counted to be small.
     """
     keys = alias_map.select("alias", "node", F.array_min(units(F.col("alias"))).alias("unit")).filter("unit is not null")
-    keys = F.broadcast(keys) if keys.limit(bound + 1).count() <= bound else keys
     asked = queries.select(F.col(query).alias("query")).distinct().select("query", F.explode(units(F.col("query"))).alias("unit"))
-    return asked.join(keys, "unit").filter(named(F.col("query"), F.col("alias"))).select("query", "alias", "node")
+    return asked.join(broadcast_if_small(keys, bound), "unit").filter(named(F.col("query"), F.col("alias"))).select("query", "alias", "node")

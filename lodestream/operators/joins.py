@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.session import bounded_rows
+from lodestream.session import bounded_rows, broadcast_if_small
 
 
 def interval_grades(exposures: DataFrame, events: DataFrame, *, keys: Sequence[str], start: str, at: str, grade: str, window: int) -> DataFrame:
@@ -57,8 +57,7 @@ def names_of_codes(df: DataFrame, codes: str, *, row: Sequence[str], table: Data
     The code table is broadcast only if it is counted to be within bound.
     """
     named = table.select(F.col(code).alias("__code"), F.explode(F.array_distinct(F.filter(F.array(*names), lambda x: x.isNotNull() & (x != "")))).alias("__name"))
-    named = F.broadcast(named) if named.limit(bound + 1).count() <= bound else named
-    found = df.select(*row, F.explode_outer(codes).alias("__code")).join(named, "__code", "left")
+    found = df.select(*row, F.explode_outer(codes).alias("__code")).join(broadcast_if_small(named, bound), "__code", "left")
     return found.groupBy(*row).agg(F.sort_array(F.collect_set("__name")).alias("names"))
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "lodestream", cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -74,5 +75,10 @@ def bounded_rows(df: DataFrame, bound: int, what: str) -> list[Row]:
     return rows
 
 
+def broadcast_if_small(df: DataFrame, bound: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most bound rows; else the join is left to a shuffle."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
