@@ -33,7 +33,8 @@ def suspects(references: DataFrame, flips: DataFrame) -> DataFrame:
     """
     ranges = partitions(references.sparkSession)
     kinds = {"asked": 0, "moved": 1, "odd": 2}
-    asked = references.filter("key is not null and day is not null").groupBy("key", "day").agg(F.lit(kinds["asked"]).alias("kind"))
+    # the distinct keys of each day are written, as bitmaps and dictionary both read them
+    asked = cut_lineage(references.filter("key is not null and day is not null").select("key", "day").distinct(), "asked").withColumn("kind", F.lit(kinds["asked"]))
     moved = flips.groupBy("key", F.floor(F.col("at") / DAY).cast("int").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     moved = moved.withColumn("kind", F.explode(F.when(F.col("n") % 2 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     rows = asked.unionByName(moved.select("key", "day", "kind")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
