@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.session import bounded_rows, cut_lineage
+from lodestream.session import bounded_rows, broadcast_if_small, cut_lineage
 
 #: Pairs hashed at a time.
 CHUNK = 1 << 21
@@ -197,8 +197,7 @@ def pair_supports(
     n_blocks = max(1, -(-total // block_rows))
     rows = baskets.select("basket", F.posexplode_outer("owners").alias("k", "owner")).join(kept, "basket").filter(F.size("items") > 1)
     large = baskets.select(F.explode("owners").alias("owner")).groupBy("owner").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block_rows)
-    large = F.broadcast(large) if large.limit(100_001).count() <= 100_000 else large
-    rows = rows.join(large, "owner", "left")
+    rows = rows.join(broadcast_if_small(large), "owner", "left")
     salt = F.when(F.col("owner").isNull(), F.xxhash64("basket")).when(F.col("size").isNotNull(), F.pmod(F.xxhash64("basket"), F.ceil(F.col("size") / block_rows))).otherwise(F.lit(0))
     rows = rows.select(
         F.pmod(F.xxhash64("owner", salt), F.lit(n_blocks)).alias("block"), "owner", F.col("size").isNull().alias("counted"), (F.coalesce(F.col("k"), F.lit(0)) == 0).alias("primary"), "items"

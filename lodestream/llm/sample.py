@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.session import broadcast_if_small, cut_lineage
+
 #: The generator's resolution: 52 bits, exact in a double.
 SPAN = float(1 << 52)
 
@@ -44,14 +46,15 @@ def extend_registry(registry: DataFrame | None, df: DataFrame, *, identifier: Co
     The caller writes it down before the next batch arrives. Epochs whose rate the registry
     knows keep it; new epochs get theirs from all that was seen before.
     """
-    seen = first_seen(df, identifier=identifier, epoch=epoch)
+    seen = cut_lineage(first_seen(df, identifier=identifier, epoch=epoch), "first-seen")
     if registry is None:
-        return seen.join(F.broadcast(frozen_rates(seen, target_per_epoch=target_per_epoch, floor=floor)), "epoch").select("id", "epoch", "rate")
+        rates = frozen_rates(seen, target_per_epoch=target_per_epoch, floor=floor)
+        return seen.join(broadcast_if_small(rates), "epoch").select("id", "epoch", "rate")
     new = seen.join(registry.select("id"), "id", "left_anti")
     known = registry.groupBy("epoch").agg(F.max("rate").alias("known"))
     rates = frozen_rates(registry.select("id", "epoch").unionByName(new), target_per_epoch=target_per_epoch, floor=floor)
     rates = rates.join(known, "epoch", "left").select("epoch", F.coalesce("known", "rate").alias("rate"))
-    return registry.select("id", "epoch", "rate").unionByName(new.join(rates, "epoch").select("id", "epoch", "rate"))
+    return registry.select("id", "epoch", "rate").unionByName(new.join(broadcast_if_small(rates), "epoch").select("id", "epoch", "rate"))
 
 
 def stable_sample(df: DataFrame, registry: DataFrame, *, identifier: Column, seed: str) -> DataFrame:
