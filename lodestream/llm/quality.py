@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,6 @@ PIECE = re.compile(r"[^\n\r。！？!?；;，,、：:|¦\t]+")
 LINE = re.compile(r"[\r\n]+|<br\s*/?>", re.I)
 SENTENCE = re.compile(r"[。！？!?]|(?<=[^\W\d])\.(?=\s|$)")
 BROKEN = re.compile(rf"[�□]|(?<=[\w{HAN}])\?(?=[\w{HAN}])|[\x00-\x08\x0b\x0c\x0e-\x1f\x80-\xff](?=[\x80-\xff])")
-DRAWN = re.compile(r"[─-◿¦|]")
 
 STATISTICS = ("words", "mean_word", "symbols", "digits", "line_ends", "common", "mean_line", "distinct", "broken", "drawn", "markup", "piece", "long_pieces", "common_pieces", "sentences")
 LANGUAGES = ("zh", "ja", "en", "und")
@@ -38,22 +38,40 @@ SUSPICIOUS = {"left": ("words", "line_ends", "common", "mean_line", "distinct",
 PRIOR_WEIGHT, PRIOR_BIAS = 0.5, {"zh": -8.0, "ja": -8.0, "en": -8.0, "und": 2.0}
 
 
-def language(text: str) -> str:
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def between(codes: np.ndarray, *ranges: tuple[int, int]) -> int:
+    """How many characters lie in one of the ranges."""
+    return int(np.logical_or.reduce([(codes >= lo) & (codes <= hi) for lo, hi in ranges]).sum())
+
+
+def language(codes: np.ndarray) -> str:
     """zh, ja, en (any alphabet) or und, by the characters themselves."""
-    han, kana, other = (len(re.findall(f"[{s}]", text)) for s in (HAN, KANA, "A-Za-zÀ-ɏ"))
+    han = between(codes, (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
+    kana = between(codes, (ord("ぁ"), ord("ヺ")))
     if kana * 8 > han + kana:
         return "ja"
+    other = between(codes, (ord("A"), ord("Z")), (ord("a"), ord("z")), (0xC0, 0x24F))
     if han and han * 3 >= other:
         return "zh"
     return "en" if other else "und"
 
 
+@lru_cache(maxsize=64)
+def any_of(words: frozenset[str]):
+    """A search for any of the words, compiled once per worker."""
+    return re.compile("|".join(map(re.escape, sorted(words))) or r"(?!)").search
+
+
 def statistics(text: str, common: dict[str, set[str]]) -> tuple[str, list[float]]:
     """The language and the values of STATISTICS, to 4 decimals; lengths as logarithms."""
-    lang = language(text)
+    codes = code_points(text)
+    lang = language(codes)
     words = WORD.findall(text)
     lines = [x for x in map(str.strip, LINE.split(text)) if x]
-    visible = max(1, sum(not c.isspace() for c in text))
+    visible = max(1, len("".join(text.split())))
     letters, digits = sum(map(str.isalpha, text)), sum(map(str.isdigit, text))
     known = common.get(lang, set())
     if lang in ("zh", "ja"):
@@ -64,7 +82,8 @@ def statistics(text: str, common: dict[str, set[str]]) -> tuple[str, list[float]
     pieces = [x for x in map(str.strip, PIECE.findall(TAG.sub("", text))) if x]
     sizes = [len(x) for x in pieces]
     if lang in ("zh", "ja"):
-        spoken = sum(any(w in x for w in known) for x in pieces)
+        said = any_of(frozenset(known))
+        spoken = sum(said(x) is not None for x in pieces)
     else:
         spoken = sum(not known.isdisjoint(x.lower().split()) for x in pieces)
     long = 9 if lang in ("zh", "ja") else 30
@@ -76,9 +95,9 @@ def statistics(text: str, common: dict[str, set[str]]) -> tuple[str, list[float]
         sum(x[-1] in ENDS for x in lines) / max(1, len(lines)),
         used,
         np.log1p(sum(map(len, lines)) / max(1, len(lines))),
-        len({text[i : i + 2] for i in range(len(text) - 1)}) / max(1, len(text) - 1),
+        len(np.unique(codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:])) / max(1, len(text) - 1),
         len(BROKEN.findall(text)) / visible,
-        len(DRAWN.findall(text)) / visible,
+        between(codes, (0x2500, 0x25FF), (ord("¦"), ord("¦")), (ord("|"), ord("|"))) / visible,
         markup / max(1, len(text)),
         np.log1p(sum(sizes) / max(1, len(sizes))),
         sum(n for n in sizes if n >= long) / max(1, sum(sizes)),
