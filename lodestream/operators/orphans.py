@@ -79,9 +79,13 @@ def orphan_references(references: DataFrame, versions: DataFrame, *, exists: str
     alive = lambda c: F.col(c).isNotNull() & F.coalesce(F.expr(exists.replace("state.", f"{c}.")), F.lit(False))
     flips = versions.withColumn("alive", alive("state")).filter(F.col("alive") != alive("previous")).select("key", "slice", "at", F.struct("alive").alias("state"))
     flips = cut_lineage(flips, "flips")
-    rows = references.filter("key is not null and at is not null").withColumn("day", F.floor(F.col("at") / DAY).cast("int"))
-    left = rows.join(suspects(rows.select("key", "day"), flips), ["key", "day"])
-    left = cut_lineage(left, "suspects")
-    sure = left.filter("sure").select(*references.columns)
-    unsure = as_of(left.filter("not sure").select(*references.columns), flips, slice_seconds=slice_seconds, max_group=max_group)
-    return sure.unionByName(unsure.filter("state is null or not state.alive").select(*references.columns))
+    # the other columns travel under names of their own, so that none can clash
+    passed = [c for c in references.columns if c not in ("key", "at")]
+    inner = ["key", "at", *[f"e{i}" for i in range(len(passed))]]
+    rows = references.select("key", "at", *[F.col(f"`{c}`").alias(f"e{i}") for i, c in enumerate(passed)])
+    rows = rows.filter("key is not null and at is not null").withColumn("day", F.floor(F.col("at") / DAY).cast("int"))
+    left = cut_lineage(rows.join(suspects(rows.select("key", "day"), flips), ["key", "day"]), "suspects")
+    unsure = as_of(left.filter("not sure").select(*inner), flips, slice_seconds=slice_seconds, max_group=max_group)
+    found = left.filter("sure").select(*inner).unionByName(unsure.filter("state is null or not state.alive").select(*inner))
+    back = {"key": "key", "at": "at"} | {c: f"e{i}" for i, c in enumerate(passed)}
+    return found.select(*[F.col(back[c]).alias(c) for c in references.columns])

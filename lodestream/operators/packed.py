@@ -62,11 +62,11 @@ class Segmenter:
     def _cover(self, text: str) -> list[str]:
         n = len(text)
         starts = self._starts(text)
-        edges: dict[int, list[tuple[int, int, str]]] = {}
+        edges: dict[int, list[tuple[int, str]]] = {}
         for place, start in starts.items():
             edges.setdefault(place, [])
             if (quoted := self._quoted(text, start)) is not None:
-                edges[place].append((*quoted[:2], quoted[2]))
+                edges[place].append(quoted)
         if not self.empty:
             by_start = {}
             for place, start in starts.items():
@@ -74,23 +74,26 @@ class Segmenter:
             for end, length in self.automaton.iter(fold(text)):
                 for place in by_start.get(end + 1 - length, ()):
                     if (after := self._ends(text, end + 1)) is not None:
-                        edges[place].append((after, length, text[end + 1 - length : end + 1]))
-        # best[p]: least unexplained characters from place p on, then most explained by one
-        best: dict[int, tuple[tuple[int, int], list[str]]] = {}
+                        edges[place].append((after, text[end + 1 - length : end + 1]))
+        # From the last place backwards: the least unexplained characters, then the fewest
+        # values, and the step that leads there.
+        best: dict[int, tuple[int, int]] = {}
+        step: dict[int, tuple[int, str]] = {}
         for place in sorted(starts, reverse=True):
             start = starts[place]
             stop = next((i for i in range(start, n) if text[i] in DELIMITERS), n)
             plain = text[start:stop].strip()
-            options = [(stop + 1, len(plain), plain)] if stop < n else [(n + 1, len(plain), plain)]
-            choice = None
-            for k, (after, length, value) in enumerate([*edges[place], *options]):
-                cost = length if k >= len(edges[place]) else 0
-                rest, tail = best.get(after, ((0, 0), [])) if after <= n else ((0, 0), [])
-                key = (cost + rest[0], rest[1] + 1)
-                if choice is None or key < choice[0]:
-                    choice = (key, ([value] if value else []) + tail)
-            best[place] = choice
-        return best[0][1] if 0 in best else []
+            for cost, (after, value) in [*((0, e) for e in edges[place]), (len(plain), (stop + 1, plain))]:
+                rest = best.get(after, (0, 0))
+                total = (cost + rest[0], rest[1] + 1)
+                if place not in best or total < best[place]:
+                    best[place], step[place] = total, (after, value)
+        values, place = [], 0
+        while place in step:
+            place, value = step[place]
+            if value:
+                values.append(value)
+        return values
 
     @staticmethod
     def _starts(text: str) -> dict[int, int]:
@@ -112,10 +115,10 @@ class Segmenter:
             i += 1
         return len(text) + 1 if i >= len(text) else i + 1 if text[i] in DELIMITERS else None
 
-    def _quoted(self, text: str, start: int) -> tuple[int, int, str] | None:
-        """A quoted value at start: place after it, its length, its text."""
+    def _quoted(self, text: str, start: int) -> tuple[int, str] | None:
+        """A quoted value at start: the place after it and its text."""
         close = QUOTES.get(text[start : start + 1])
-        if close is None:
+        if close is None or text.find(close, start + 1) < 0:
             return None
         i, out = start + 1, []
         while i < len(text):
@@ -128,7 +131,7 @@ class Segmenter:
                     i += 2
                     continue
                 after = self._ends(text, i + 1)
-                return None if after is None else (after, i - start, "".join(out).strip())
+                return None if after is None else (after, "".join(out).strip())
             else:
                 out.append(text[i])
                 i += 1

@@ -76,7 +76,7 @@ def test_orphans_equal_brute_force(spark, seed):
     states, events = example(seed)
     s = spark.createDataFrame(states, STATES)
     versions = current_state_versions(s, key=F.col("job"), effective=F.col("changed"), available=F.col("loaded"), tie=F.col("row"), payload={"status": F.col("status")})
-    refs = spark.createDataFrame(events, "record long, job string, t timestamp_ntz").select(F.col("job").alias("key"), micros(F.col("t")).alias("at"), "record")
+    refs = spark.createDataFrame(events, "record long, job string, t timestamp_ntz").select(F.col("job").alias("key"), micros(F.col("t")).alias("at"), "record", F.lit("clash").alias("day"), F.lit("clash").alias("state"), F.lit("clash").alias("sure"))
     got = sorted(r.record for r in orphan_references(refs, versions, exists="state.status <> 'removed'").collect())
     want = sorted(e for e, job, at in events if job is not None and at is not None and ((x := in_force(states, job, at)) is None or x[4] == "removed"))
     assert got == want
@@ -130,6 +130,11 @@ def test_segmenter_round_trip(values, between, quoted):
     assert Segmenter(KNOWN).values(between.join(written)) == values
 
 
+def test_segmenter_of_long_fields():
+    for field, n in ((",".join(["甲"] * 50_000), 50_000), ("“a," * 50_000, 50_000), ("HM/UI、" * 20_000, 20_000), ("x" * 300_000, 1), ('"a,' * 50_000, 50_000)):
+        assert len(Segmenter(KNOWN).values(field)) == n
+
+
 def test_split_packed_rows(spark):
     rows = [(1, "a,b", None, "clash", "z"), (2, None, None, "p", "z"), (3, "", "無", "p", "z"), (1, "a,b", None, "clash", "z"), (4, "x" * 100_000 + ",y", "q", "p", "z")]
     df = spark.createDataFrame(rows, "id long, one string, two string, item string, pos string")
