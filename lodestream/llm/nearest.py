@@ -13,8 +13,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, keys: Sequence[str], t
 
     left: keys, at, and columns to keep. right: keys, at, id (a number). `at` is in
     microseconds, tolerance inclusive, before or after. Of equally near right rows the one
-    with the smallest id is taken. Adds id and distance. Rows with a null key or time match
-    nothing; repeated left rows come out repeatedly; equal right rows don't matter.
+    with the smallest id is taken. Adds id and distance, instead of left's own columns of
+    those names. Rows with a null key or time match nothing; repeated left rows come out
+    repeatedly; equal right rows don't matter; further columns of right are ignored.
 
     Both tables are united, sorted per entity and time, and every left row is given the last
     right row before it and the next one after it. An entity's time is cut into slots (of
@@ -22,18 +23,22 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, keys: Sequence[str], t
     by one task; right rows near a slot's edge are given to both neighbours.
     """
     slot = max(slot or 12 * tolerance, tolerance, 1)
-    kept = [c for c in left.columns if c not in (*keys, "at")]
+    kept = [c for c in left.columns if c not in (*keys, "at", "id", "distance")]
+    # inside, every column has a name of its own
+    entity = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]
+    at = F.col("`at`").cast("bigint")
     whole = " and ".join(f"`{c}` is not null" for c in (*keys, "at"))
-    placed = left.filter(whole).withColumn("slot", F.floor(F.col("at") / slot)).withColumn("right", F.lit(None).cast("struct<at:bigint,id:bigint>"))
-    spread = F.explode(F.sequence(F.floor((F.col("at") - tolerance) / slot), F.floor((F.col("at") + tolerance) / slot)))
-    near = right.filter(whole + " and id is not null").select(*keys, "at", spread.alias("slot"), F.struct(F.col("at").cast("bigint").alias("at"), F.col("id").cast("bigint").alias("id")).alias("right"))
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    placed = left.filter(whole).select(*entity, F.floor(at / slot).alias("slot"), at.alias("t"), *carried, F.lit(None).cast("struct<at:bigint,id:bigint>").alias("right"))
+    spread = F.explode(F.sequence(F.floor((at - tolerance) / slot), F.floor((at + tolerance) / slot)))
+    near = right.filter(whole + " and id is not null").select(*entity, spread.alias("slot"), at.alias("t"), F.struct(at.alias("at"), F.col("id").cast("bigint").alias("id")).alias("right"))
     both = placed.unionByName(near, allowMissingColumns=True)
-    entity = [*keys, "slot"]
-    before = Window.partitionBy(*entity).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*entity).orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    group = [*[f"k{i}" for i in range(len(keys))], "slot"]
+    before = Window.partitionBy(*group).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*group).orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     backwards = F.when(F.col("right").isNotNull(), F.struct(F.col("right.at").alias("at"), (-F.col("right.id")).alias("id")))
-    carried = both.withColumn("last", F.max(backwards).over(before)).withColumn("next", F.min("right").over(after)).filter("right is null")
-    back, ahead = F.col("at") - F.col("last.at"), F.col("next.at") - F.col("at")
+    sides = both.withColumn("last", F.max(backwards).over(before)).withColumn("next", F.min("right").over(after)).filter("right is null")
+    back, ahead = F.col("t") - F.col("last.at"), F.col("next.at") - F.col("t")
     choice = F.array_min(
         F.array_compact(
             F.array(
@@ -42,4 +47,5 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, keys: Sequence[str], t
             )
         )
     )
-    return carried.withColumn("choice", choice).filter("choice is not null").select(*keys, "at", *kept, "choice.id", "choice.distance")
+    found = sides.withColumn("choice", choice).filter("choice is not null")
+    return found.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("t").alias("at"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "choice.id", "choice.distance")

@@ -60,7 +60,8 @@ def extend_registry(registry: DataFrame | None, df: DataFrame, *, identifier: Co
 def stable_sample(df: DataFrame, registry: DataFrame, *, identifier: Column, seed: str) -> DataFrame:
     """All rows of df whose record the registry has and the generator chooses, with id, epoch and rate.
 
-    Rows with a null identifier are never chosen. Columns of df named id, epoch or rate are an error.
+    Rows with a null identifier are never chosen. df's own columns named id, epoch or rate
+    give way to the sample's.
     """
     chosen = registry.filter(uniform(F.col("id"), seed) < F.col("rate")).select(F.col("id").alias("__id"), "epoch", "rate")
-    return df.withColumn("__id", identifier).join(chosen, "__id").withColumnRenamed("__id", "id")
+    return df.withColumn("__id", identifier).drop("id", "epoch", "rate").join(chosen, "__id").withColumnRenamed("__id", "id")

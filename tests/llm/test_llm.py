@@ -26,6 +26,8 @@ def test_nearest(spark, slot):
     left = [(key(), rng.choice([None, *range(300)]), i) for i in range(200)]
     right = [(key(), rng.choice([None, *range(300)]), rng.choice([None, *range(40)])) for _ in range(120)]
     ldf = spark.createDataFrame(left + left[:5], "k string, at long, rid long")
+    for c in ("slot", "right", "last", "next", "choice", "id", "distance", "t", "k0"):
+        ldf = ldf.withColumn(c, F.lit("clash"))
     rdf = spark.createDataFrame(right + right[:9], "k string, at long, id long").withColumn("rid", F.lit(1)).withColumn("slot", F.lit("clash"))
     got = sorted((r.rid, r.id, r.distance) for r in nearest_in_time(ldf, rdf, keys=["k"], tolerance=5, slot=slot).collect())
     want = []
@@ -86,7 +88,7 @@ NODES = [("n1", "HM/UI", []), ("n2", "前端介面開發", ["網頁切版"]), ("
 SURFACES = {
     "hm/ui (3.2)": "n1", "ＨＭ／ＵＩ相關經驗": "n1", "前端界面開發": "n2", "前介端面開發": "n2", "前端介面開": "n2", "前端介面面開發": "n2", "熟悉網頁切版(必備)": "n2", "前端・介面_開發": "n2",
     "node kx 熟練": "n3", "精通 nodekx": "n3", "d++操作": "n4", "d#": "n5", "具資安巡檢初階能力": "n6", "資安巡检初阶": "n6", "kora v9.4": "n7", "korascrpt": "n8", "kora script言": "n8",
-    "共用名": None, "皮革染色": None, "umbrevue經驗": None, "無": None, "": None, None: None, "?" * 5000: None,
+    "共用名": None, "皮革染色": None, "umbrevue經驗": None, "無": None, "": None, None: None, "?" * 5000: None, "經驗" * 20_000: None, "1" * 30_000: None,
 }
 
 
@@ -120,6 +122,8 @@ def test_sample_is_stable(spark):
     assert once <= chosen(more, grown)
     assert {tuple(r) for r in registry.collect()} <= {tuple(r) for r in grown.collect()}
     assert {tuple(r) for r in extend_registry(grown, more, **options).collect()} == {tuple(r) for r in grown.collect()}
+    clash = first.withColumn("id", F.lit("x")).withColumn("epoch", F.lit("x")).withColumn("rate", F.lit("x"))
+    assert chosen(clash, registry) == once
     assert chosen(first.limit(0), registry) == set()
     assert extend_registry(None, first.limit(0), **options).count() == 0
 
