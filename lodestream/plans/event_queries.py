@@ -85,7 +85,7 @@ def activity_totals(spark: SparkSession, base: str) -> DataFrame:
 SMOOTHED = f"""with {EVENTS},
 g as (select posting, count(*) as n, sum(case when grade = 2 then 1 else 0 end) as positives, sum(grade) as grade_sum, count(*) filter (grade = 1) as views from events where posting is not null group by posting),
 t as (select sum(n) as n, sum(positives) as positives from g),
-s as (select posting, g.n as events, g.positives as applies, round((g.positives + 5.0::double * t.positives / t.n) / (g.n + 5.0::double), 6) as rate, round(least(2.5::double, 0.65::double * ln(1 + g.positives) + 0.12::double * ln(1 + g.views)), 4) as prior from g, t)
+s as (select posting, g.n as events, cast(g.positives as bigint) as applies, round((g.positives + 5.0::double * t.positives / t.n) / (g.n + 5.0::double), 6) as rate, round(least(2.5::double, 0.65::double * ln(1 + g.positives) + 0.12::double * ln(1 + g.views)), 4) as prior from g, t)
 select posting, events, applies, rate, prior, row_number() over (order by rate desc, posting) as rank from s qualify rank <= 20"""
 
 
@@ -117,7 +117,7 @@ def judged_searches(spark: SparkSession, base: str) -> DataFrame:
     return joins.judged_groups(graded(spark, base), group=["search_id"], grade="grade").select("search_id", "place", "posting", "grade")
 
 
-@query(f"{WITH_GRADED}, cases as (select cast(cast(search_time as date) as varchar) as day, ks, c0, d0, posting, max(grade) as grade from graded group by all) select day, ks, c0, d0, count(*) as candidates, sum(grade) as grade_sum, max(grade) as best from cases group by all")
+@query(f"{WITH_GRADED}, cases as (select cast(cast(search_time as date) as varchar) as day, ks, c0, d0, posting, max(grade) as grade from graded group by all) select day, ks, c0, d0, count(*) as candidates, cast(sum(grade) as bigint) as grade_sum, max(grade) as best from cases group by all")
 def label_cases(spark: SparkSession, base: str) -> DataFrame:
     """Candidates and grades per day, query and codes."""
     case = ["day", "ks", "c0", "d0"]
@@ -126,10 +126,10 @@ def label_cases(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(f"""{WITH_GRADED}, u as (select *, case when grade > 0 then 1 else 0 end as pos from graded)
-select 'query_posting' as grain, concat_ws(chr(31), ks, posting) as key, count(*) as n, sum(pos) as positives, sum(grade) as grade_sum from u group by all
-union all select 'posting', posting, count(*), sum(pos), sum(grade) from u group by all
-union all select 'query', ks, count(*), sum(pos), sum(grade) from u group by all
-union all select 'all', '', count(*), sum(pos), sum(grade) from u""")
+select 'query_posting' as grain, concat_ws(chr(31), ks, posting) as key, count(*) as n, cast(sum(pos) as bigint) as positives, cast(sum(grade) as bigint) as grade_sum from u group by all
+union all select 'posting', posting, count(*), cast(sum(pos) as bigint), cast(sum(grade) as bigint) from u group by all
+union all select 'query', ks, count(*), cast(sum(pos) as bigint), cast(sum(grade) as bigint) from u group by all
+union all select 'all', '', count(*), cast(sum(pos) as bigint), cast(sum(grade) as bigint) from u""")
 def grain_triples(spark: SparkSession, base: str) -> DataFrame:
     """Exposures, positives and grades at four grains."""
     rows = graded(spark, base).select("ks", "posting", F.lit(1).alias("one"), (F.col("grade") > 0).cast("int").alias("pos"), "grade")
@@ -137,7 +137,7 @@ def grain_triples(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(f"""{WITH_GRADED}, daily as (select posting, cast(cast(search_time as date) as varchar) as day, count(*) as n, sum(grade) as grade_sum from graded group by all)
-select posting, day, coalesce(sum(n) over w, 0) as n, coalesce(sum(grade_sum) over w, 0) as grade_sum from daily window w as (partition by posting order by day rows between unbounded preceding and 1 preceding)""")
+select posting, day, cast(coalesce(sum(n) over w, 0) as bigint) as n, cast(coalesce(sum(grade_sum) over w, 0) as bigint) as grade_sum from daily window w as (partition by posting order by day rows between unbounded preceding and 1 preceding)""")
 def rolling_snapshots(spark: SparkSession, base: str) -> DataFrame:
     """What was known of each posting before each day."""
     daily = graded(spark, base).groupBy("posting", F.to_date("search_time").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("grade").alias("grade_sum"))
@@ -230,7 +230,7 @@ def counts_with_defaults(spark: SparkSession, base: str) -> DataFrame:
     return joins.with_defaults(keys, counts, ["posting"], {"n": 0})
 
 
-DUTIES = """select search_id, list_sort(list_distinct(list_filter(flatten(list(names)), lambda x: x is not null))) as names from (
+DUTIES = """select search_id, array_to_string(list_sort(list_distinct(list_filter(flatten(list(names)), lambda x: x is not null))), '|') as names from (
 select s.search_id, case when d.CodeNo is null then [] else list_filter([d.CodeNameA, d.CodeNameB, d.CodeNameC], lambda x: x is not null and x <> '') end as names
 from (select search_id, unnest(case when coalesce(d0, '') = '' then [''] else regexp_split_to_array(d0, ',') end) as code from (select distinct search_id, d0 from user_search_log)) s left join duty_code d on d.CodeNo = s.code) group by search_id"""
 
@@ -240,10 +240,11 @@ def duty_names(spark: SparkSession, base: str) -> DataFrame:
     """The names that the duty codes of a search stand for."""
     rows = load(spark, base, "user_search_log").select("search_id", F.split(F.coalesce("d0", F.lit("")), ",").alias("codes")).distinct()
     table = load(spark, base, "duty_code")
-    return joins.names_of_codes(rows, "codes", row=["search_id"], table=table, code="CodeNo", names=["CodeNameA", "CodeNameB", "CodeNameC"])
+    named = joins.names_of_codes(rows, "codes", row=["search_id"], table=table, code="CodeNo", names=["CodeNameA", "CodeNameB", "CodeNameC"])
+    return named.withColumn("names", F.array_join("names", "|"))
 
 
-@query("""with q(query_id, words) as (values (1, '護理'), (2, '工程師'), (3, '司機')) select query_id, posting_row_id, 10.0 * cast(contains("職務名稱", words) as int) + 2.0 * cast(contains(coalesce("職務內容", ''), words) as int) as score from job_posting, q where "職務名稱" is not null and (contains("職務名稱", words) or contains(coalesce("職務內容", ''), words))""")
+@query("""with q(query_id, words) as (values (1, '護理'), (2, '工程師'), (3, '司機')) select query_id, posting_row_id, 10.0::double * cast(contains("職務名稱", words) as int) + 2.0::double * cast(contains(coalesce("職務內容", ''), words) as int) as score from job_posting, q where "職務名稱" is not null and (contains("職務名稱", words) or contains(coalesce("職務內容", ''), words))""")
 def scored_pairs(spark: SparkSession, base: str) -> DataFrame:
     """Every posting row against a stated set of queries."""
     rows = load(spark, base, "job_posting").select("posting_row_id", F.col("`職務名稱`").alias("title"), F.coalesce(F.col("`職務內容`"), F.lit("")).alias("body")).filter("title is not null")
@@ -293,11 +294,11 @@ def unambiguous_aliases(spark: SparkSession, base: str) -> DataFrame:
     return aggs.owned_once(names, "alias", "node_id")
 
 
-@query("select normalized_surface as surface, count(distinct job_id) as records, count(distinct company_id) as owners, list_sort(list(distinct evidence_field)) as fields from resolution where node_id is null and coalesce(normalized_surface, '') <> '' group by 1 having count(distinct job_id) >= 3 and count(distinct company_id) >= 2")
+@query("select normalized_surface as surface, count(distinct job_id) as records, count(distinct company_id) as owners, array_to_string(list_sort(list(distinct evidence_field)), '|') as fields from resolution where node_id is null and coalesce(normalized_surface, '') <> '' group by 1 having count(distinct job_id) >= 3 and count(distinct company_id) >= 2")
 def unknown_surfaces(spark: SparkSession, base: str) -> DataFrame:
     """Unresolved surfaces that enough postings of enough companies use."""
     rows = load(spark, base, "resolution").filter("node_id is null").withColumnRenamed("surface", "typed").withColumnRenamed("normalized_surface", "surface")
-    return aggs.frequent_surfaces(rows, surface="surface", record="job_id", owner="company_id", field="evidence_field")
+    return aggs.frequent_surfaces(rows, surface="surface", record="job_id", owner="company_id", field="evidence_field").withColumn("fields", F.array_join("fields", "|"))
 
 
 COVERED = ("職務名稱", "職務內容", "工作城市", "電腦技能資料", "工作技能", "專業證照", "廠商編號")

@@ -164,12 +164,12 @@ def taxonomy_match(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"""with p as (select {number_sql('"職缺編號"')} as item, loaded_at from job_posting), i as (select distinct item from p where item is not null), ok as (select distinct item from p where loaded_at <= '2026-04-12 23:59:59'),
 e as (select job_id as item, node_id as skill, max(confidence) as c from resolution where node_id is not null and job_id in (select item from ok) group by all), s as (select item, list_sort(list(skill)) as skills, round(max(c), 6) as confidence from e group by 1)
-select item, coalesce(skills, []) as skills, coalesce(confidence, 0) as confidence from i left join s using (item)""")
+select item, array_to_string(coalesce(skills, []), '|') as skills, coalesce(confidence, 0) as confidence from i left join s using (item)""")
 def ranking_overlay(spark: SparkSession, base: str) -> DataFrame:
     """Postings with the skills that were known of them by a cutoff."""
     postings = load(spark, base, "job_posting").select(whole_number(F.col("`職缺編號`")).alias("item"), F.col("loaded_at").alias("modified_at")).filter("item is not null")
     edges = load(spark, base, "resolution").filter("node_id is not null").select(F.col("job_id").alias("item"), F.col("node_id").alias("skill"), "confidence")
-    return graph.overlay(postings, postings, edges, cutoff=CUTOFF)
+    return graph.overlay(postings, postings, edges, cutoff=CUTOFF).withColumn("skills", F.array_join("skills", "|"))
 
 
 @query(f"with {ALIASES}, o as (select alias, count(distinct node) as n, min(node) as node from aliases group by 1), m as (select {FOLD.format('normalized_surface')} as s, confidence from resolution where coalesce(normalized_surface, '') <> ''), r as (select coalesce(case when n = 1 then node end, 'skill:' || substr(sha256(concat('Skill', chr(0), s)), 1, 16)) as node, s, confidence, n is null as fresh from m left join o on alias = s where n is null or n = 1) select node, count(distinct s) as surfaces, max(confidence) as confidence, bool_and(fresh) as new from r group by node")
@@ -218,9 +218,9 @@ def vocab_scan(spark: SparkSession, base: str) -> DataFrame:
 LABELS = """v as (select distinct lower(label) as n from skill_node where regexp_full_match(label, '[\u4e00-\u9fff]+'))"""
 
 
-@query(f"with {LABELS} select ks, list_sort(list(n)) as names from (select distinct ks from user_search_log), v where contains(ks, n) group by ks")
+@query(f"with {LABELS} select ks, array_to_string(list_sort(list(n)), '|') as names from (select distinct ks from user_search_log), v where contains(ks, n) group by ks")
 def matched_names(spark: SparkSession, base: str) -> DataFrame:
     """Chinese labels in search texts, by one expression inside the engine."""
     labels = [n for (n,) in matching.bounded_vocabulary(load(spark, base, "skill_node").filter(F.col("label").rlike("^[\u4e00-\u9fff]+$")).select(F.lower("label").alias("n")), ["n"])]
     rows = load(spark, base, "user_search_log").select("ks").distinct()
-    return rows.select("ks", F.sort_array(F.array_distinct(matching.matched_names(F.col("ks"), labels))).alias("names")).filter(F.size("names") > 0)
+    return rows.select("ks", F.array_join(F.sort_array(F.array_distinct(matching.matched_names(F.col("ks"), labels))), "|").alias("names")).filter("names <> ''")

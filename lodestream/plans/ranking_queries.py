@@ -118,7 +118,7 @@ def filter_with_fallback(spark: SparkSession, base: str) -> DataFrame:
     return retrieval.filter_or_all(hits, F.col("place") == F.col("city"), group=["query_id"]).select("query_id", "posting_row_id")
 
 
-@query("""select posting_row_id, 4.0 * cast(coalesce("工作城市" = '雲橋市', false) as int) + 3.5 * cast(coalesce(contains("職務小類", '員'), false) as int) + 6.0 * cast(coalesce(try_cast("薪資下限" as double) >= 40000, false) as int) as boost from job_posting""")
+@query("""select posting_row_id, 4.0::double * cast(coalesce("工作城市" = '雲橋市', false) as int) + 3.5::double * cast(coalesce(contains("職務小類", '員'), false) as int) + 6.0::double * cast(coalesce(try_cast("薪資下限" as double) >= 40000, false) as int) as boost from job_posting""")
 def boosted_postings(spark: SparkSession, base: str) -> DataFrame:
     """What the wanted place, duty and bound add to a posting's score."""
     low = F.col("`薪資下限`").try_cast("double")
@@ -128,7 +128,7 @@ def boosted_postings(spark: SparkSession, base: str) -> DataFrame:
 
 LEXICAL = """with q(query_id, words) as (values (1, '護理'), (2, '資料分析員')), p as (select posting_row_id, lower(coalesce("職務名稱", '')) as title, lower(concat_ws(' ', coalesce("職務大類", ''), coalesce("職務中類", ''), coalesce("職務小類", ''))) as category, lower(coalesce("職務內容", '')) as body from job_posting),
 e as (select query_id, posting_row_id, cast(title = words as int) as a, cast(contains(title, words) as int) as b, cast(contains(category, words) as int) as c, cast(contains(body, words) as int) as d from p, q)
-select query_id, posting_row_id, 18.0 * a + 10.0 * b + 6.0 * c + 2.0 * d as score from e where a + b + c + d > 0"""
+select query_id, posting_row_id, 18.0::double * a + 10.0::double * b + 6.0::double * c + 2.0::double * d as score from e where a + b + c + d > 0"""
 
 
 @query(LEXICAL)

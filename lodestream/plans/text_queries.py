@@ -161,8 +161,8 @@ def number_ranges(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(f"""with b as ({PAY}) select posting_row_id,
-case when kind <> 'monthly' or (low <= 0 and high <= 0) then 0.0 when case when high > 0 then high else low end >= 40000 then 1.0 else -1.0 end as at_least,
-case when kind <> 'monthly' or (low <= 0 and high <= 0) then 0.0 when low <= 40000 and 40000 <= case when high > 0 then high else low end then 1.0 else -1.0 end as exactly from b""")
+case when kind <> 'monthly' or (low <= 0 and high <= 0) then 0.0::double when case when high > 0 then high else low end >= 40000 then 1.0 else -1.0 end as at_least,
+case when kind <> 'monthly' or (low <= 0 and high <= 0) then 0.0::double when low <= 40000 and 40000 <= case when high > 0 then high else low end then 1.0 else -1.0 end as exactly from b""")
 def range_matches(spark: SparkSession, base: str) -> DataFrame:
     """Whether a posting's range answers a wanted number."""
     same = F.col("kind") == "monthly"
@@ -186,7 +186,7 @@ def posting_freshness(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("posting_row_id", fields.freshness(F.col("at"), F.lit(low), F.lit(high)).alias("freshness"))
 
 
-@query("""select posting_row_id, case when contains("工作城市", '市') then 1.0 else -1.0 end as place, case when contains(coalesce("職務小類", ''), '護理') or contains(coalesce("職務名稱", ''), '護理') then 2.4 else -10.0 end as duty,
+@query("""select posting_row_id, case when contains("工作城市", '市') then 1.0::double else -1.0 end as place, case when contains(coalesce("職務小類", ''), '護理') or contains(coalesce("職務名稱", ''), '護理') then 2.4::double else -10.0 end as duty,
 len(list_filter(["職務大類", "職務中類", "職務小類"], lambda x: x is not null and x <> '' and x <> 'NULL')) as levels from job_posting where "工作城市" is not null""")
 def place_and_duty(spark: SparkSession, base: str) -> DataFrame:
     """Signed matches of place and duty names, and the filled levels."""
@@ -212,11 +212,11 @@ def grounded_searches(spark: SparkSession, base: str) -> DataFrame:
     return load(spark, base, "user_search_log").select("search_id", fields.grounded(F.lit("技師"), {"技師": ["技師"]}, ks).alias("grounded"), city.alias("city"))
 
 
-@query("""select surface_id, list_filter([case when surface is null or surface = '' or not contains(coalesce(normalized_surface, ''), surface) then '0:ungrounded' end, case when not confidence >= 0.75 or confidence is null then '0:confidence' end], lambda x: x is not null) as errors from resolution""")
+@query("""select surface_id, array_to_string(list_filter([case when surface is null or surface = '' or not contains(coalesce(normalized_surface, ''), surface) then '0:ungrounded' end, case when not confidence >= 0.75 or confidence is null then '0:confidence' end], lambda x: x is not null), '|') as errors from resolution""")
 def evidence_checks(spark: SparkSession, base: str) -> DataFrame:
     """What is wrong with each resolution taken as extracted evidence."""
     one = F.array(F.struct(F.col("surface").alias("evidence"), F.lit("mentioned").alias("level"), F.col("confidence"), F.lit(False).alias("negated")))
-    return load(spark, base, "resolution").select("surface_id", fields.evidence_errors(F.coalesce("normalized_surface", F.lit("")), one).alias("errors"))
+    return load(spark, base, "resolution").select("surface_id", F.array_join(fields.evidence_errors(F.coalesce("normalized_surface", F.lit("")), one), "|").alias("errors"))
 
 
 @query("""select posting_row_id, case when "職務名稱" like '%員%' and "工作城市" is not null then '職稱吻合；地區吻合' when "職務名稱" like '%員%' then '職稱吻合' when "工作城市" is not null then '地區吻合' else '綜合' end as why from job_posting""")
