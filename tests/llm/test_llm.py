@@ -115,8 +115,11 @@ def test_sample_is_stable(spark):
     registry = extend_registry(None, first, **options)
     once = chosen(first, registry)
     assert once and once == chosen(first.repartition(7).orderBy(F.desc("row")), extend_registry(None, first.repartition(3), **options))
-    for _, posting in once:
-        assert {r.row for r in first.filter(F.col("posting") == posting).collect()} == {r for r, p in once if p == posting}
+    rows_of = defaultdict(set)
+    for r in first.collect():
+        rows_of[r.posting].add(r.row)
+    for posting in {p for _, p in once}:
+        assert rows_of[posting] == {r for r, p in once if p == posting}
     more = postings(spark, 1000, late=300)
     grown = extend_registry(registry, more, **options)
     assert once <= chosen(more, grown)
