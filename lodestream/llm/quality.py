@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.session import bounded_rows, cut_lineage, partitions
+from lodestream.session import bounded_rows, broadcast_if_small, cut_lineage, partitions
 
 # Signs that end a sentence or a line of prose.
 ENDS = "。．.!！?？…」』”\"’）)】~～"
@@ -184,7 +184,9 @@ def outlier_scores(documents: DataFrame, common: DataFrame, labels: DataFrame, *
     measured = cut_lineage(measured, "statistics")
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in STATISTICS]))
     long = measured.select("row", "doc_id", "language", pairs.alias("p")).select("row", "doc_id", "language", "p.statistic", "p.value")
-    ranks = cut_lineage(tail_probabilities(long), "tails")
+    # Values of 4 decimals repeat: the table of ranks is small beside the documents, and where
+    # it is counted to be, a document's statistics meet it without leaving their task.
+    ranks = broadcast_if_small(cut_lineage(tail_probabilities(long), "tails"), 500_000)
 
     sampled = labels.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("doc_id"), (F.col(label) != prose).cast("int").alias("label"))
     sampled = sampled.join(measured.select("doc_id"), "doc_id", "left_semi").distinct().orderBy(F.xxhash64("doc_id"), "label").limit(sample_rows)
