@@ -57,23 +57,42 @@ def shingles(codes: np.ndarray, q: int) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def minima(hashes: np.ndarray, bins: int) -> np.ndarray:
-    """MinHash by one permutation: the least hash of each bin that isn't empty."""
-    if not len(hashes):
-        return hashes
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Each hash once, in order."""
     ordered = np.sort(hashes)
-    _, first = np.unique(ordered % np.uint64(bins), return_index=True)
-    return ordered[first]
+    keep = np.ones(len(ordered), bool)
+    keep[1:] = ordered[1:] != ordered[:-1]
+    return ordered[keep]
 
 
-def met(hashes: np.ndarray, known: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The owners, one for each time that a hash is among those known (sorted, with their owners)."""
-    lo, hi = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
-    some = np.flatnonzero(hi > lo)
-    sizes = hi[some] - lo[some]
-    if not len(some):
-        return owner[:0]
-    return owner[np.repeat(lo[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+def minima(ordered: np.ndarray, bins: int) -> np.ndarray:
+    """MinHash by one permutation: of hashes in order, the least of each bin that isn't empty."""
+    own = (ordered % np.uint64(bins)).astype(np.int64)
+    least = np.full(bins, -1)
+    least[own[::-1]] = np.arange(len(own))[::-1]  # the last to be written is the least
+    return ordered[least[least >= 0]]
+
+
+class Lists:
+    """For each of many hashes, who holds it."""
+
+    def __init__(self, held: list[np.ndarray]):
+        hashes = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        order = np.argsort(hashes, kind="stable")
+        self.owner = owner[order]
+        self.known, first = np.unique(hashes[order], return_index=True)
+        self.bounds = np.append(first, len(hashes))
+
+    def holders(self, hashes: np.ndarray) -> np.ndarray:
+        """Who holds one of the hashes, once for each that is held."""
+        if not len(self.known):
+            return self.owner
+        at = np.searchsorted(self.known, hashes)
+        at[at == len(self.known)] = 0
+        at = at[self.known[at] == hashes]
+        lo, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        return self.owner[np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
 def surviving(length: int, share: int, q: int) -> int:
@@ -118,30 +137,22 @@ class Items:
             width = least - step + 1
             self.overlap = max(self.overlap, width + q)
             for start in range(0, len(codes) - width + 1, step):
-                self.stretches.append(np.unique(hashes[start : start + width - q + 1]))
+                self.stretches.append(distinct(hashes[start : start + width - q + 1]))
                 self.stretch_item.append(own)
                 self.need.append(surviving(width, share, q))
         self.piece = max(self.piece, 4 * self.overlap)
-        # every shingle with the stretches that hold it, for exact containment
-        hashes = np.concatenate(self.stretches) if self.stretches else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(self.stretches)), [len(x) for x in self.stretches])
-        order = np.argsort(hashes, kind="stable")
-        self.held, self.holders = hashes[order], owner[order]
+        self.shingles = Lists(self.stretches)  # for exact containment
         self.need_of, self.item_of = np.array(self.need, np.int64), np.array(self.stretch_item, np.int64)
-        self.classes: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        self.classes: dict[int, tuple[int, Lists]] = {}
 
-    def size_class(self, n: int) -> tuple[int, np.ndarray, np.ndarray]:
-        """Bins of the documents with so many shingles, and the stretches' minima with their stretches."""
+    def size_class(self, n: int) -> tuple[int, Lists]:
+        """Bins of the documents with so many shingles, and who holds which of the stretches' minima."""
         upper = 1 << max(6, (n - 1).bit_length())
         if upper not in self.classes:
             need, size = min(self.need, default=1), max(map(len, self.stretches), default=1)
             p = 1 - self.miss ** (1 / need)  # a surviving shingle must be least in its bin this often
             bins = max(64, int(np.ceil((upper + size) * p / (1 - p))))
-            minhash = [minima(s, bins) for s in self.stretches]
-            hashes = np.concatenate(minhash) if minhash else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(minhash)), [len(x) for x in minhash])
-            order = np.argsort(hashes, kind="stable")
-            self.classes[upper] = (bins, hashes[order], owner[order])
+            self.classes[upper] = bins, Lists([minima(s, bins) for s in self.stretches])
         return self.classes[upper]
 
     def found(self, text: str | None) -> list[int]:
@@ -156,12 +167,13 @@ class Items:
         hashes = shingles(codes, self.q)
         if not len(hashes) or not self.stretches:
             return
-        bins, known, owner = self.size_class(len(hashes))
+        bins, sketches = self.size_class(len(hashes))
+        own = distinct(hashes)
         candidates = np.zeros(len(self.stretches), bool)
-        candidates[met(minima(hashes, bins), known, owner)] = True
+        candidates[sketches.holders(minima(own, bins))] = True
         if not candidates.any():
             return
-        shared = np.bincount(met(np.unique(hashes), self.held, self.holders), minlength=len(candidates))
+        shared = np.bincount(self.shingles.holders(own), minlength=len(candidates))
         items = set(self.item_of[candidates & (shared >= self.need_of)].tolist())
         for i in items - hit:
             if self._verified(codes, hashes, i):
