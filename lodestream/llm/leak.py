@@ -15,7 +15,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +100,23 @@ def surviving(length: int, share: int, q: int) -> int:
     return max(1, length - replaced - (replaced + 1) * (q - 1))
 
 
+def surest(least: int, share: int, q: int, step: int) -> int:
+    """Shingles that the best of a passage's stretches keeps at least.
+
+    Any passage of twice the least length or more holds a shorter one that qualifies, too (one
+    of its halves). One of length n holds the stretches of width least - step + 1 that begin at
+    multiples of step; the first and the last of them have `common` shingles in common. So
+    letters replaced there harm both, all others only one of the two, and the better of the
+    two loses no more than both lose on average.
+    """
+    width = least - step + 1
+    own, kept = width - q + 1, []
+    for n in range(least, 2 * least):
+        lost, common = q * (n // share), max(0, own - (n - least) // step * step)
+        kept.append(own - min(lost, common) - max(0, lost - common) // 2)
+    return max(1, min(kept))
+
+
 def holds_stretch(document: np.ndarray, item: np.ndarray, least: int, share: int) -> bool:
     """Whether the two, laid side by side, agree on a stretch of at least `least` letters but for one in `share`."""
     n = len(document)
@@ -117,10 +133,11 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str, int]], *, share: int, q: int, miss: float, piece: int):
         self.share, self.q, self.miss, self.piece = share, q, miss, piece
-        self.ids, self.codes, self.least, self.grams = [], [], [], []
+        self.ids, self.codes, self.least, self.grams, self.enough = [], [], [], [], []
         self.stretch_item: list[int] = []
         self.stretches: list[np.ndarray] = []
         self.need: list[int] = []
+        self.usual: list[int] = []
         self.overlap = q
         for item_id, text, least in rows:
             codes = code_points(letters(text))
@@ -131,25 +148,34 @@ class Items:
             self.codes.append(codes)
             self.least.append(least)
             hashes = shingles(codes, q)
-            self.grams.append((np.argsort(hashes, kind="stable"), np.sort(hashes)))
+            self.grams.append(hashes)
+            self.enough.append(min(surviving(n, share, q) for n in range(least, 2 * least)))
             # Any passage of the least length holds one stretch that begins at a multiple of step.
             step = max(1, least // 5)
             width = least - step + 1
+            kept = surest(least, share, q, step)
             self.overlap = max(self.overlap, width + q)
             for start in range(0, len(codes) - width + 1, step):
-                self.stretches.append(distinct(hashes[start : start + width - q + 1]))
+                each, times = np.unique(hashes[start : start + width - q + 1], return_counts=True)
+                # A shingle is lost where all its occurrences are: the rarest are lost first.
+                lost = int(np.searchsorted(np.cumsum(np.sort(times)), times.sum() - kept, "right"))
+                self.stretches.append(each)
                 self.stretch_item.append(own)
-                self.need.append(surviving(width, share, q))
+                self.need.append(max(1, len(each) - lost))
+                self.usual.append(kept)
         self.piece = max(self.piece, 4 * self.overlap)
         self.shingles = Lists(self.stretches)  # for exact containment
         self.need_of, self.item_of = np.array(self.need, np.int64), np.array(self.stretch_item, np.int64)
+        # Stretches that repeat themselves keep too few distinct shingles for the bins: they are looked up whole.
+        none = np.zeros(0, np.uint64)
+        self.repetitive = Lists([s if n < u else none for s, n, u in zip(self.stretches, self.need, self.usual, strict=True)])
         self.classes: dict[int, tuple[int, Lists]] = {}
 
     def size_class(self, n: int) -> tuple[int, Lists]:
         """Bins of the documents with so many shingles, and who holds which of the stretches' minima."""
         upper = 1 << max(6, (n - 1).bit_length())
         if upper not in self.classes:
-            need, size = min(self.need, default=1), max(map(len, self.stretches), default=1)
+            need, size = min(self.usual, default=1), max(map(len, self.stretches), default=1)
             p = 1 - self.miss ** (1 / need)  # a surviving shingle must be least in its bin this often
             bins = max(64, int(np.ceil((upper + size) * p / (1 - p))))
             self.classes[upper] = bins, Lists([minima(s, bins) for s in self.stretches])
@@ -171,27 +197,32 @@ class Items:
         own = distinct(hashes)
         candidates = np.zeros(len(self.stretches), bool)
         candidates[sketches.holders(minima(own, bins))] = True
+        candidates[self.repetitive.holders(own)] = True
         if not candidates.any():
             return
         shared = np.bincount(self.shingles.holders(own), minlength=len(candidates))
-        items = set(self.item_of[candidates & (shared >= self.need_of)].tolist())
-        for i in items - hit:
-            if self._verified(codes, hashes, i):
+        items = set(self.item_of[candidates & (shared >= self.need_of)].tolist()) - hit
+        if not items:
+            return
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
+        for i in items:
+            if self._verified(codes, order, ordered, i):
                 hit.add(i)
 
-    def _verified(self, codes: np.ndarray, hashes: np.ndarray, i: int) -> bool:
-        order, grams = self.grams[i]
-        lo, hi = np.searchsorted(grams, hashes, "left"), np.searchsorted(grams, hashes, "right")
-        diagonals: defaultdict[int, int] = defaultdict(int)
-        for p in np.flatnonzero(hi > lo):
-            for k in range(lo[p], hi[p]):
-                diagonals[int(p) - int(order[k])] += 1
-        item, least = self.codes[i], self.least[i]
-        for d, n in diagonals.items():
-            if n >= surviving(least, self.share, self.q):
-                a, b = max(0, d), min(len(codes), len(item) + d)
-                if holds_stretch(codes[a:b], item[a - d : b - d], least, self.share):
-                    return True
+    def _verified(self, codes: np.ndarray, order: np.ndarray, ordered: np.ndarray, i: int) -> bool:
+        """Whether the item has a stretch in the piece: every diagonal with enough shingles is compared letter by letter."""
+        grams, item, least = self.grams[i], self.codes[i], self.least[i]
+        lo, hi = np.searchsorted(ordered, grams, "left"), np.searchsorted(ordered, grams, "right")
+        sizes = hi - lo
+        if sizes.sum() < self.enough[i]:
+            return False
+        at = order[np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        diagonals = np.bincount(at - np.repeat(np.arange(len(grams)), sizes) + len(grams))
+        for d in (np.flatnonzero(diagonals >= self.enough[i]) - len(grams)).tolist():
+            a, b = max(0, d), min(len(codes), len(item) + d)
+            if holds_stretch(codes[a:b], item[a - d : b - d], least, self.share):
+                return True
         return False
 
 

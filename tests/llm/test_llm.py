@@ -187,6 +187,25 @@ def test_leaks_equal_brute_force(spark, seed, options):
     assert find(d.limit(0), i) == set() and find(d, i.limit(0)) == set()
 
 
+def searched(item: str, least: int) -> leak.Items:
+    return leak.Items([(1, item, least)], share=12, q=6, miss=1e-4, piece=4096)
+
+
+@pytest.mark.parametrize(("least", "alphabet"), [(50, "".join(map(chr, range(0x4E00, 0x5200)))), (100, "abcdefghijklmnopqrstuvwxyz")])
+def test_leaks_with_most_replacements(least, alphabet):
+    rng = random.Random(least)
+    some = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    for n in (least, least + 10, least + 20, least + 32, 2 * least - 1):
+        replaced = n // 12
+        for places in ([int((k + 0.5) * n / replaced) for k in range(replaced)], [n // 2 - 3 * replaced + 6 * k for k in range(replaced)], rng.sample(range(n), replaced)):
+            item, start = some(400), rng.randint(0, 400 - n)
+            passage = list(item[start : start + n])
+            for p in places:
+                passage[p] = "ж"
+            assert searched(item, least).found(some(200) + "".join(passage) + some(200)) == [1], (n, places)
+    assert searched("好" * 70, least=50).found("天" * 9 + "好" * 60) == [1] and searched("好" * 70, least=50).found("好" * 49) == []
+
+
 def test_stretch_by_definition():
     rng = np.random.default_rng(1)
     for _ in range(300):
