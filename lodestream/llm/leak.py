@@ -154,7 +154,8 @@ class Items:
             step = max(1, least // 5)
             width = least - step + 1
             kept = surest(least, share, q, step)
-            self.overlap = max(self.overlap, width + q)
+            # A qualifying passage shorter than twice the least lies whole in one piece.
+            self.overlap = max(self.overlap, 2 * least + q)
             for start in range(0, len(codes) - width + 1, step):
                 each, times = np.unique(hashes[start : start + width - q + 1], return_counts=True)
                 # A shingle is lost where all its occurrences are: the rarest are lost first.
@@ -246,8 +247,8 @@ def leaked_items(
     A stretch is of at least `least` letters, digits and ideographs in a row (a column of
     items), at most one in `share` of them replaced by another; other signs, markup, case,
     width and 臺/台 don't matter. Texts are read whole; documents longer than `piece` letters
-    are searched piece by piece, pieces overlapping by more than a stretch: a passage that
-    crosses the overlap is found by that part of it that has the least length. Null and blank
+    are searched piece by piece, pieces overlapping by more than twice the least length: a
+    passage that is longer than the overlap holds a shorter one that qualifies. Null and blank
     texts hold nothing, items shorter than `least` are in no document; repeated rows give one.
     """
     n = items.count()

@@ -206,6 +206,19 @@ def test_leaks_with_most_replacements(least, alphabet):
     assert searched("好" * 70, least=50).found("天" * 9 + "好" * 60) == [1] and searched("好" * 70, least=50).found("好" * 49) == []
 
 
+def test_leaks_across_pieces():
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    item = some(400)
+    items = searched(item, least=100)
+    for n in (100, 112, 199):
+        passage = list(item[50 : 50 + n])
+        for k in range(n // 12):
+            passage[12 * k + 6] = "ж"
+        for start in range(3780, 4100, 4):
+            assert items.found(some(start) + "".join(passage) + some(500)) == [1], (n, start)
+
+
 def test_stretch_by_definition():
     rng = np.random.default_rng(1)
     for _ in range(300):
