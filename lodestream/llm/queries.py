@@ -12,7 +12,7 @@ from lodestream.llm.mix import mix_sources, share_report
 from lodestream.llm.nearest import nearest_in_time
 from lodestream.llm.quality import document_statistics, outlier_scores
 from lodestream.llm.resolve import closest_entries, unmatched
-from lodestream.llm.sample import extend_registry, stable_sample
+from lodestream.llm.sample import kept_registry, stable_sample
 from lodestream.session import cut_lineage, load
 
 MINUTE = 60_000_000
@@ -62,11 +62,14 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_sample(spark: SparkSession, base: str) -> DataFrame:
-    """All rows of the sampled postings, with the week they were first seen in and its rate."""
+    """All rows of the sampled postings, with the week they were first seen in and its rate.
+
+    Both are kept in the shared folder, for each folder of tables; the SQL is what the first run gives.
+    """
     postings = load(spark, base, "job_posting").select("posting_row_id", "`職缺編號`", "loaded_at")
     number = whole_number(F.col("`職缺編號`"))
     week = F.date_trunc("week", "loaded_at").cast("date").cast("string")
-    registry = extend_registry(None, postings, identifier=number, epoch=week, target_per_epoch=100, floor=0.01)
+    registry = kept_registry(f"{SEED} {base.rstrip('/')}", postings, identifier=number, epoch=week, target_per_epoch=100, floor=0.01)
     chosen = stable_sample(postings, registry, identifier=number, seed=SEED)
     return chosen.select("posting_row_id", F.col("id").alias("job_no"), "epoch", F.round("rate", 9).alias("rate"))
 

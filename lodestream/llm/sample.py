@@ -7,10 +7,13 @@ identifier, falls below that rate: so nothing that comes later can change the ch
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.session import broadcast_if_small, cut_lineage
+from lodestream.session import broadcast_if_small, cut_lineage, shared_folder
 
 #: The generator's resolution: 52 bits, exact in a double.
 SPAN = float(1 << 52)
@@ -57,6 +60,35 @@ def extend_registry(registry: DataFrame | None, df: DataFrame, *, identifier: Co
     return registry.select("id", "epoch", "rate").unionByName(new.join(broadcast_if_small(rates), "epoch").select("id", "epoch", "rate"))
 
 
+def kept_registry(name: str, df: DataFrame, *, identifier: Column, epoch: Column, target_per_epoch: float, floor: float) -> DataFrame:
+    """The registry that is kept under that name in the shared folder, extended by df.
+
+    Only new entries are written, beside those of earlier runs, so that a run that breaks off
+    leaves nothing that the next one couldn't extend. Should two runs have written the same
+    record, its earliest epoch counts.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/registry-{hashlib.sha256(name.encode()).hexdigest()[:32]}"
+    schema = df.select(identifier.alias("id"), epoch.alias("epoch"), F.lit(0.0).alias("rate")).schema
+
+    def read() -> DataFrame | None:
+        try:
+            rows = spark.read.schema(schema).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return rows.groupBy("id").agg(F.min(F.struct("epoch", "rate")).alias("x")).select("id", "x.epoch", "x.rate")
+
+    before = read()
+    new = extend_registry(before, df, identifier=identifier, epoch=epoch, target_per_epoch=target_per_epoch, floor=floor)
+    if before is not None:
+        new = cut_lineage(new.join(before.select("id"), "id", "left_anti"), "new-entries")
+    if before is None or not new.isEmpty():
+        new.write.mode("append").parquet(path)
+    return read()
+
+
 def stable_sample(df: DataFrame, registry: DataFrame, *, identifier: Column, seed: str) -> DataFrame:
     """All rows of df whose record the registry has and the generator chooses, with id, epoch and rate.
 
