@@ -84,6 +84,26 @@ def lexical_units(normalized: Column) -> Column:
     return F.array_distinct(F.concat(ascii_units, grams))
 
 
+def naming_units(text: Column) -> Column:
+    """The units of a lower-cased text by which names meet it: ASCII words as surface_in_text bounds them, other letters and pairs of them."""
+    words = F.regexp_extract_all(text, F.lit("([a-z0-9+#]+)"), F.lit(1))
+    runs = F.regexp_extract_all(text, F.lit(r"([^\x00-\x7f]+)"), F.lit(1))
+    grams = F.flatten(F.transform(runs, lambda r: F.concat(ngrams(r, 2), ngrams(r, 1))))
+    return F.array_distinct(F.concat(words, grams))
+
+
+def naming_unit(surface: Column) -> Column:
+    """A unit that every text has in which surface_in_text finds the lower-cased surface; null if it has no letters.
+
+    An ASCII surface is bounded, so its words are whole words of the text; of any other
+    surface only what lies between ASCII letters is sure to be a unit.
+    """
+    units = naming_units(surface)
+    other = F.filter(units, lambda u: ~u.rlike(r"^\p{ASCII}+$"))
+    pairs = F.filter(other, lambda u: F.length(u) == 2)
+    return F.coalesce(F.array_min(pairs), F.array_min(other), F.array_min(units))
+
+
 def overlap(wanted: Column, held: Column) -> Column:
     """Share of wanted units that are held; 0 where nothing is wanted."""
     return F.size(F.array_intersect(wanted, held)) / F.greatest(F.lit(1), F.size(wanted))

@@ -255,12 +255,14 @@ def unknown_values(items: DataFrame, alias_map: DataFrame, *, item: str, owner:
     return named.join(alias_map.select(F.col("alias").alias("surface")).distinct(), "surface", "left_anti").groupBy("item", "owner", "surface").agg(F.min("field").alias("field"))
 
 
-def lookup_aliases(queries: DataFrame, alias_map: DataFrame, *, query: str, units, named, bound: int = 200_000) -> DataFrame:
+def lookup_aliases(queries: DataFrame, alias_map: DataFrame, *, query: str, units, named, unit=None, bound: int = 200_000) -> DataFrame:
     """(query, alias, node): names that occur in a query.
 
-    Queries and names meet by equality on a unit of the name, then `named` verifies; both
-    are column functions. A small list is broadcast, if it is counted to be small.
+    Queries and names meet by equality on a unit of the name, then `named` verifies; all
+    are column functions. `unit` gives the one unit of a name that all queries have that
+    `named` accepts, by default its least. A small list is broadcast, if it is counted to be small.
     """
-    keys = alias_map.select("alias", "node", F.array_min(units(F.col("alias"))).alias("unit")).filter("unit is not null")
+    one = unit or (lambda c: F.array_min(units(c)))
+    keys = alias_map.select("alias", "node", one(F.col("alias")).alias("unit")).filter("unit is not null")
     asked = queries.select(F.col(query).alias("query")).distinct().select("query", F.explode(units(F.col("query"))).alias("unit"))
     return asked.join(broadcast_if_small(keys, bound), "unit").filter(named(F.col("query"), F.col("alias"))).select("query", "alias", "node")

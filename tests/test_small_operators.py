@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodestream.functions import fields, text
 from lodestream.operators import aggs, graph, joins, retrieval, scoring, setops, windows
-from lodestream.plans import build, search
+from lodestream.plans import build, pipeline_queries, search
 from lodestream.sources import readers
 
 
@@ -88,3 +90,13 @@ def test_graph_built_by_hand(spark, tmp_path):
     assert {r.rule: r.violations for r in built["violations"].collect() if r.violations} == {"candidate_node": 1}
     first = build.export(built, str(tmp_path / "g"))
     assert first == build.export(built, str(tmp_path / "g")) and first["parts"]["edges"]["records"] == 15
+
+
+def test_names_beside_signs(spark):
+    names = ["gridnote", "kora", "d++", "d#", "hm/ui", ".nova", "kora script語言", "光", "資料分析"]
+    texts = ["Gridnote/Excel", "kora-based", "D++/D#", "xkora", "hm/ui設計", "新.nova版", "akora script語言", "光學資料分析員", "kora#", "", None]
+    got = pipeline_queries._named(spark.createDataFrame([(t,) for t in texts], "q string"), spark.createDataFrame([(n, n) for n in names], "alias string, node string"), "q").collect()
+    bounded = lambda n, t: re.search("(?<![a-z0-9+#])" + re.escape(n) + "(?![a-z0-9+#])", t) if n.isascii() else n in t
+    want = {(t, n) for t in texts if t for n in names if bounded(n, t.lower())}
+    assert {(r.query, r.alias) for r in got} == want and len(got) == len(want)
+    assert {("Gridnote/Excel", "gridnote"), ("kora-based", "kora"), ("akora script語言", "kora script語言")} <= want
