@@ -189,8 +189,18 @@ def posting_freshness(spark: SparkSession, base: str) -> DataFrame:
 @query("""select posting_row_id, case when contains("工作城市", '市') then 1.0::double else -1.0 end as place, case when contains(coalesce("職務小類", ''), '護理') or contains(coalesce("職務名稱", ''), '護理') then 2.4::double else -10.0 end as duty,
 len(list_filter(["職務大類", "職務中類", "職務小類"], lambda x: x is not null and x <> '' and x <> 'NULL')) as levels from job_posting where "工作城市" is not null""")
 def place_and_duty(spark: SparkSession, base: str) -> DataFrame:
-    """Signed matches of place and duty names, and the filled levels."""
-    rows = load(spark, base, "job_posting").filter(F.col("`工作城市`").isNotNull())
+    """Signed matches of place and duty names, and the filled levels; only of postings with a city, as in the SQL."""
+    return _place_and_duty(load(spark, base, "job_posting").filter(F.col("`工作城市`").isNotNull()))
+
+
+@query("""select posting_row_id, case when contains("工作城市", '市') then 1.0::double else -1.0 end as place, case when contains(coalesce("職務小類", ''), '護理') or contains(coalesce("職務名稱", ''), '護理') then 2.4::double else -10.0 end as duty,
+len(list_filter(["職務大類", "職務中類", "職務小類"], lambda x: x is not null and x <> '' and x <> 'NULL')) as levels from job_posting""")
+def place_and_duty_of_all(spark: SparkSession, base: str) -> DataFrame:
+    """The same of all postings: without a city the wanted place is missed."""
+    return _place_and_duty(load(spark, base, "job_posting"))
+
+
+def _place_and_duty(rows: DataFrame) -> DataFrame:
     names = F.array(F.lit("護理"))
     duty = fields.any_contains(names, F.coalesce(F.col("`職務小類`"), F.lit(""))) | fields.any_contains(names, F.coalesce(F.col("`職務名稱`"), F.lit("")))
     place = fields.signed_match(F.array(F.lit("市")), fields.any_contains(F.array(F.lit("市")), F.col("`工作城市`")))

@@ -66,3 +66,14 @@ def test_names_in_searches(spark):
     for t in texts:
         named = {n for n in labels if n and bounded(n, t.lower())}
         assert found.get(t, set()) <= named and bool(named) == (t in found)
+
+
+@needs_data
+def test_no_row_is_left_out(spark):
+    searches, postings = (spark.read.parquet(f"{BASE}/{n}.parquet") for n in ("user_search_log", "job_posting"))
+    codes = entry.queries()["closed_codes_of_all"](spark, BASE)
+    assert codes.select("search_id").distinct().count() == searches.select("search_id").distinct().count()
+    places = entry.queries()["place_and_duty_of_all"](spark, BASE)
+    assert places.count() == postings.count()
+    cityless = postings.filter("`工作城市` is null").select("posting_row_id")
+    assert {r.place for r in places.join(cityless, "posting_row_id").collect()} == {-1.0}
