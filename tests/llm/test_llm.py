@@ -108,6 +108,13 @@ def postings(spark, n: int, late: int = 0):
     return spark.createDataFrame(rows, "row long, posting string, week string")
 
 
+def test_names_in_simplified_characters(spark):
+    pairs = {"賣場擺設": "卖场摆设", "無塵室設備保全": "无尘室设备保全", "幼兒團體帶領": "幼儿团体带领", "保全巡邏監看": "保全巡逻监看", "訪談參優歸檔": "访谈参优归档"}
+    nodes = spark.createDataFrame([(n, n, None) for n in pairs], "node_id string, label string, aliases array<string>")
+    got = closest_entries(spark.createDataFrame([(t,) for t in pairs.values()], "text string"), nodes, text="text", node_id="node_id", label="label", aliases="aliases").collect()
+    assert {(r.node_id, r.text, r.distance) for r in got} == {(n, t, 0) for n, t in pairs.items()}
+
+
 def test_sample_is_stable(spark):
     options = {"identifier": F.col("posting"), "epoch": F.col("week"), "target_per_epoch": 30, "floor": 0.05}
     chosen = lambda df, reg: {(r.row, r.id) for r in stable_sample(df, reg, identifier=F.col("posting"), seed="s").collect()}
