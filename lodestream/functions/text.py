@@ -86,7 +86,7 @@ def lexical_units(normalized: Column) -> Column:
 
 def naming_units(text: Column) -> Column:
     """The units of a lower-cased text by which names meet it: ASCII words as surface_in_text bounds them, other letters and pairs of them."""
-    words = F.regexp_extract_all(text, F.lit("([a-z0-9+#]+)"), F.lit(1))
+    words = F.regexp_extract_all(text, F.lit("([a-z0-9.+#]+)"), F.lit(1))
     runs = F.regexp_extract_all(text, F.lit(r"([^\x00-\x7f]+)"), F.lit(1))
     grams = F.flatten(F.transform(runs, lambda r: F.concat(ngrams(r, 2), ngrams(r, 1))))
     return F.array_distinct(F.concat(words, grams))
@@ -110,9 +110,9 @@ def overlap(wanted: Column, held: Column) -> Column:
 
 
 def surface_in_text(text: Column, surface: Column) -> Column:
-    """Whether text names the surface: an ASCII surface only between characters that aren't ASCII letters, digits, + or #."""
+    """Whether text names the surface: an ASCII surface only between characters that aren't ASCII letters, digits, . + or #."""
     ascii_only = surface.rlike(r"^\p{ASCII}+$")
-    quoted = F.concat(F.lit("(?<![a-z0-9+#])"), F.regexp_replace(surface, r"([^A-Za-z0-9\s])", r"\\$1"), F.lit("(?![a-z0-9+#])"))
+    quoted = F.concat(F.lit("(?<![a-z0-9.+#])"), F.regexp_replace(surface, r"([^A-Za-z0-9\s])", r"\\$1"), F.lit("(?![a-z0-9.+#])"))
     return (surface != "") & F.when(ascii_only, F.rlike(text, quoted)).otherwise(text.contains(surface))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestream.functions import text
 from lodestream.functions.scalars import whole_number
 from lodestream.operators import graph, joins, matching
+from lodestream.plans import sqltext
 from lodestream.plans.core_problems import number_sql
 from lodestream.plans.registry import Registry
 from lodestream.session import load
@@ -19,27 +20,22 @@ queries, oracle_sql, query = registry.queries, registry.oracle_sql, registry.que
 CUTOFF = dt.datetime(2026, 4, 12, 23, 59, 59)
 
 
-def fold(c):
-    """Fold names that have plain width already."""
-    return text.surface_normalize(c, False)
-
-
-FOLD = "regexp_replace(regexp_replace(regexp_replace(replace(lower(coalesce({}, '')), '臺', '台'), '[\\s\u3000]+', ' ', 'g'), '^ | $', '', 'g'), '\\s*([.+#/-])\\s*', '\\1', 'g')"
-ALIASES = f"aliases as (select distinct {FOLD.format('a')} as alias, node_id as node from (select node_id, unnest(list_append(coalesce(aliases, []), label)) as a from skill_node) where {FOLD.format('a')} <> '')"
+fold = text.surface_normalize
+ALIASES = f"aliases as (select distinct {sqltext.surface('a')} as alias, node_id as node from (select node_id, unnest(list_append(coalesce(aliases, []), label)) as a from skill_node) where {sqltext.surface('a')} <> '')"
 
 
 def alias_map(spark: SparkSession, base: str) -> DataFrame:
     return graph.aliases_of(load(spark, base, "skill_node"), node="node_id", label="label", aliases="aliases", fold=fold)
 
 
-@query(f"with {ALIASES}, o as (select alias, count(distinct node) as n, min(node) as node from aliases group by 1), m as (select distinct surface_id, {FOLD.format('normalized_surface')} as surface from resolution) select surface_id, case when n = 1 then node end as node, case when n = 1 then 'EXACT' when n > 1 then 'AMBIGUOUS' else 'UNKNOWN' end as decision from m left join o on alias = surface")
+@query(f"with {ALIASES}, o as (select alias, count(distinct node) as n, min(node) as node from aliases group by 1), m as (select distinct surface_id, {sqltext.surface('normalized_surface')} as surface from resolution) select surface_id, case when n = 1 then node end as node, case when n = 1 then 'EXACT' when n > 1 then 'AMBIGUOUS' else 'UNKNOWN' end as decision from m left join o on alias = surface")
 def entity_resolution(spark: SparkSession, base: str) -> DataFrame:
     """Typed names resolved by exact names of the list."""
     rows = load(spark, base, "resolution").select("surface_id", fold(F.col("normalized_surface")).alias("surface")).distinct()
     return graph.resolve_exactly(rows, alias_map(spark, base), surface="surface").select("surface_id", "node", "decision")
 
 
-@query(f"with {ALIASES}, o as (select alias, count(distinct node) as n, min(node) as node from aliases group by 1), m as (select distinct surface_id, node_id, {FOLD.format('surface')} as surface from resolution) select surface_id, node_id, case when n = 1 then node end as node from m left join o on alias = surface where node_id is not null and node_id is distinct from case when n = 1 then node end")
+@query(f"with {ALIASES}, o as (select alias, count(distinct node) as n, min(node) as node from aliases group by 1), m as (select distinct surface_id, node_id, {sqltext.surface('surface')} as surface from resolution) select surface_id, node_id, case when n = 1 then node end as node from m left join o on alias = surface where node_id is not null and node_id is distinct from case when n = 1 then node end")
 def mismatched_claims(spark: SparkSession, base: str) -> DataFrame:
     """Resolutions whose claimed node isn't the one that the typed name has, folded without width."""
     rows = load(spark, base, "resolution").select("surface_id", "node_id", fold(F.col("surface")).alias("surface")).distinct()
@@ -47,7 +43,7 @@ def mismatched_claims(spark: SparkSession, base: str) -> DataFrame:
     return graph.mismatched_claims(resolved, claimed="node_id", node="node").select("surface_id", "node_id", "node")
 
 
-@query(f"with {ALIASES}, codes as (select distinct {FOLD.format('CodeNameA')} as alias, 'duty.' || CodeNo as node from duty_code) select alias, node from aliases union all select alias, node from codes where alias not in (select alias from aliases)")
+@query(f"with {ALIASES}, codes as (select distinct {sqltext.surface('CodeNameA')} as alias, 'duty.' || CodeNo as node from duty_code) select alias, node from aliases union all select alias, node from codes where alias not in (select alias from aliases)")
 def merged_vocabulary(spark: SparkSession, base: str) -> DataFrame:
     """Names of skills and duties; a skill keeps a name that both have."""
     codes = load(spark, base, "duty_code").select(fold(F.col("CodeNameA")).alias("alias"), F.concat(F.lit("duty."), "CodeNo").alias("node")).distinct()
@@ -151,8 +147,8 @@ def forbidden_merges(spark: SparkSession, base: str) -> DataFrame:
     return both.filter(graph.forbidden_merge(F.col("a"), F.col("b"), [("d#", "d++"), ("kora", "korascript"), ("c", "c++")])).select("a", "b")
 
 
-TAXONOMY = f"""n as (select posting_row_id, '職務大類' as level, {FOLD.format('"職務大類"')} as name from job_posting union all select posting_row_id, '職務中類', {FOLD.format('"職務中類"')} from job_posting union all select posting_row_id, '職務小類', {FOLD.format('"職務小類"')} from job_posting),
-l as (select '職務大類' as level, {FOLD.format('CodeNameC')} as name, min(CodeNo) as code from duty_code where CodeNameA = CodeNameB and CodeNameB = CodeNameC group by all union all select '職務中類', {FOLD.format('CodeNameB')}, min(CodeNo) from duty_code where CodeNameA = CodeNameB group by all union all select '職務小類', {FOLD.format('CodeNameA')}, min(CodeNo) from duty_code group by all)"""
+TAXONOMY = f"""n as (select posting_row_id, '職務大類' as level, {sqltext.surface('"職務大類"')} as name from job_posting union all select posting_row_id, '職務中類', {sqltext.surface('"職務中類"')} from job_posting union all select posting_row_id, '職務小類', {sqltext.surface('"職務小類"')} from job_posting),
+l as (select '職務大類' as level, {sqltext.surface('CodeNameC')} as name, min(CodeNo) as code from duty_code where CodeNameA = CodeNameB and CodeNameB = CodeNameC group by all union all select '職務中類', {sqltext.surface('CodeNameB')}, min(CodeNo) from duty_code where CodeNameA = CodeNameB group by all union all select '職務小類', {sqltext.surface('CodeNameA')}, min(CodeNo) from duty_code group by all)"""
 
 
 @query(f"with {TAXONOMY} select distinct posting_row_id as item, code, coalesce(nullif(CodeNameA, ''), nullif(CodeNameB, ''), nullif(CodeNameC, ''), CodeNo) as label from n join l using (level, name) join duty_code on CodeNo = code where name <> ''")
@@ -172,7 +168,7 @@ def ranking_overlay(spark: SparkSession, base: str) -> DataFrame:
     return graph.overlay(postings, postings, edges, cutoff=CUTOFF).withColumn("skills", F.array_join("skills", "|"))
 
 
-@query(f"with {ALIASES}, o as (select alias, count(distinct node) as n, min(node) as node from aliases group by 1), m as (select {FOLD.format('normalized_surface')} as s, confidence from resolution where coalesce(normalized_surface, '') <> ''), r as (select coalesce(case when n = 1 then node end, 'skill:' || substr(sha256(concat('Skill', chr(0), s)), 1, 16)) as node, s, confidence, n is null as fresh from m left join o on alias = s where n is null or n = 1) select node, count(distinct s) as surfaces, max(confidence) as confidence, bool_and(fresh) as new from r group by node")
+@query(f"with {ALIASES}, o as (select alias, count(distinct node) as n, min(node) as node from aliases group by 1), m as (select {sqltext.surface('normalized_surface')} as s, confidence from resolution where coalesce(normalized_surface, '') <> ''), r as (select coalesce(case when n = 1 then node end, 'skill:' || substr(sha256(concat('Skill', chr(0), s)), 1, 16)) as node, s, confidence, n is null as fresh from m left join o on alias = s where n is null or n = 1) select node, count(distinct s) as surfaces, max(confidence) as confidence, bool_and(fresh) as new from r group by node")
 def published_nodes(spark: SparkSession, base: str) -> DataFrame:
     """Typed names as new nodes, or merged with the node that has the name."""
     rows = load(spark, base, "resolution").filter("normalized_surface <> ''").select(fold(F.col("normalized_surface")).alias("surface"), "confidence")
@@ -191,36 +187,53 @@ def indexed_behaviour(spark: SparkSession, base: str) -> DataFrame:
     return graph.limited_to(views, posting=load(spark, base, "skill_basket").select("job_id")).groupBy("posting").agg(F.countDistinct("view_id").alias("views"))
 
 
-@query()
+BODY = f"""{ALIASES}, t as (select posting_row_id, {sqltext.surface("concat_ws('。', \"職務名稱\", \"職務內容\")")} as body from job_posting)"""
+
+
+def _mentions(spark: SparkSession, base: str, way: str) -> DataFrame:
+    names = [n for (n,) in matching.bounded_vocabulary(alias_map(spark, base), ["alias"])]
+    found = matching.mentions(F.concat_ws("。", "`職務名稱`", "`職務內容`"), names, way=way)
+    return load(spark, base, "job_posting").select("posting_row_id", F.inline(found))
+
+
+@query(f"""with {BODY}, m as (select posting_row_id, unnest(regexp_extract_all({sqltext.marked("body")}, {sqltext.alternation("aliases", "alias", True)})) as m from t)
+select posting_row_id, replace(m, chr(1), '') as name, count(*) as times from m group by all""")
 def alias_extract(spark: SparkSession, base: str) -> DataFrame:
-    """Names of the list in posting texts, by an automaton, with evidence and level."""
-    names = [n for n, _ in matching.bounded_vocabulary(alias_map(spark, base), ["alias", "node"])]
-    found = matching.mentions(F.concat_ws("。", "`職務名稱`", "`職務內容`"), names)
-    return load(spark, base, "job_posting").select("posting_row_id", F.inline(found)).drop("negated")
+    """Names of the list in posting texts, by an automaton, with how often they occur."""
+    return _mentions(spark, base, "automaton").groupBy("posting_row_id", "name").agg(F.count(F.lit(1)).alias("times"))
 
 
-@query()
+@query(f"""with {BODY}, m as (select posting_row_id, unnest(regexp_extract_all({sqltext.marked("body")}, {sqltext.alternation("aliases", "alias", False)})) as m from t)
+select posting_row_id, replace(m, chr(1), '') as name, count(*) as times from m where not {sqltext.ascii_only("m")} or (starts_with(m, chr(1)) and ends_with(m, chr(1))) group by all""")
 def consuming_extract(spark: SparkSession, base: str) -> DataFrame:
     """The same by an alternation in which a rejected name has used up its text."""
-    names = [n for n, _ in matching.bounded_vocabulary(alias_map(spark, base), ["alias", "node"])]
-    found = matching.mentions(F.concat_ws("。", "`職務名稱`", "`職務內容`"), names, way="consuming")
-    return load(spark, base, "job_posting").select("posting_row_id", F.inline(found)).filter("negated = 'false'").drop("negated")
+    return _mentions(spark, base, "consuming").groupBy("posting_row_id", "name").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query()
+def mention_levels(spark: SparkSession, base: str) -> DataFrame:
+    """Names that postings mention and don't negate, with evidence, place and level."""
+    return _mentions(spark, base, "consuming").filter("negated = 'false'").drop("negated")
+
+
+@query("""with d as (select "CodeNameA" as n, max("CodeNo") as code from duty_code where "CodeNameA" is not null group by 1), q as (select distinct ks from user_search_log where ks is not null),
+found as (select ks, regexp_extract_all(ks, (select string_agg(regexp_escape(n), '|' order by length(n) desc, n) from d where length(n) > 1)) as names from q),
+each as (select ks, unnest(names) as n, generate_subscripts(names, 1) as k from found),
+first as (select ks, code, min(k) as k from each join d using (n) group by all)
+select ks, string_agg(code, '|' order by k) as codes from first group by ks""")
 def vocab_scan(spark: SparkSession, base: str) -> DataFrame:
     """Duties that search texts name, by windows."""
-    table = dict(matching.bounded_vocabulary(load(spark, base, "duty_code"), ["CodeNameA", "CodeNo"]))
+    table = dict(matching.bounded_vocabulary(load(spark, base, "duty_code").filter("CodeNameA is not null"), ["CodeNameA", "CodeNo"]))
     rows = load(spark, base, "user_search_log").select("ks").distinct()
-    return rows.select("ks", matching.resolved_windows(F.col("ks"), table).alias("codes")).filter(F.size("codes") > 0)
-
-
-LABELS = """v as (select distinct lower(label) as n from skill_node where regexp_full_match(label, '[\u4e00-\u9fff]+'))"""
+    return rows.select("ks", F.array_join(matching.resolved_windows(F.col("ks"), table), "|").alias("codes")).filter("codes <> ''")
 
 
-@query(f"with {LABELS} select ks, array_to_string(list_sort(list(n)), '|') as names from (select distinct ks from user_search_log), v where contains(ks, n) group by ks")
+@query(f"""with v as (select distinct {sqltext.indexed('label')} as n from skill_node where {sqltext.indexed('label')} <> ''), q as (select ks, {sqltext.indexed('ks')} as t from (select distinct ks from user_search_log)),
+m as (select ks, unnest(regexp_extract_all({sqltext.marked("t")}, {sqltext.alternation("v", "n", True)})) as m from q)
+select ks, string_agg(distinct replace(m, chr(1), ''), '|' order by replace(m, chr(1), '')) as names from m group by ks""")
 def matched_names(spark: SparkSession, base: str) -> DataFrame:
-    """Chinese labels in search texts, by one expression inside the engine."""
-    labels = [n for (n,) in matching.bounded_vocabulary(load(spark, base, "skill_node").filter(F.col("label").rlike("^[\u4e00-\u9fff]+$")).select(F.lower("label").alias("n")), ["n"])]
+    """All labels in search texts, by one expression inside the engine; of labels that overlap, the first and longest."""
+    labels = [n for (n,) in matching.bounded_vocabulary(load(spark, base, "skill_node").select(text.index_normalize(F.col("label")).alias("n")).filter("n <> ''"), ["n"])]
     rows = load(spark, base, "user_search_log").select("ks").distinct()
-    return rows.select("ks", F.array_join(F.sort_array(F.array_distinct(matching.matched_names(F.col("ks"), labels))), "|").alias("names")).filter("names <> ''")
+    found = matching.matched_names(text.index_normalize(F.col("ks")), labels)
+    return rows.select("ks", F.array_join(F.sort_array(F.array_distinct(found)), "|").alias("names")).filter("names <> ''")

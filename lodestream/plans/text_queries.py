@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import fields, text
 from lodestream.functions.scalars import micros
+from lodestream.plans import sqltext
 from lodestream.plans.registry import Registry
 from lodestream.session import load
 
@@ -20,19 +21,23 @@ REMOTE = ("遠端工作", "遠端上班", "遠端客服", "全遠端", "遠端",
 HOME_CARE = ("居家照顧", "居家照服", "居家服務", "居家護理", "居家督導", "居家清潔", "居家托育")
 
 JOIN_SPELLINGS = "replace(replace(replace(replace(replace(replace({}, 'react.js', 'reactjs'), 'react js', 'reactjs'), 'node js', 'node.js'), 'nodejs', 'node.js'), 'c sharp', 'c#'), 'cplusplus', 'c++')"
-COLLAPSE = "regexp_replace(regexp_replace({}, '[\\s\u3000\u00a0]+', ' ', 'g'), '^ | $', '', 'g')"
-LOWER = "replace(lower(coalesce(ks, '')), '臺', '台')"
+COLLAPSE = sqltext.collapsed("{}")
+PAD = "regexp_replace({}, '^[\\s\u3000\u00a0]+|[\\s\u3000\u00a0]+$', '', 'g')"
 
 
-@query(f"select distinct ks, {COLLAPSE.format(LOWER)} as indexed, {COLLAPSE.format(JOIN_SPELLINGS.format(LOWER))} as ranked, regexp_replace({COLLAPSE.format(LOWER)}, '\\s*([.+#/-])\\s*', '\\1', 'g') as surface from user_search_log")
+def _ranked(column: str) -> str:
+    return COLLAPSE.format(JOIN_SPELLINGS.format("replace(" + PAD.format(f"lower({sqltext.plain_width(column)})") + ", '臺', '台')"))
+
+
+@query(f"select distinct ks, {sqltext.indexed('ks')} as indexed, {_ranked('ks')} as ranked, {sqltext.surface('ks')} as surface from user_search_log")
 def normalized_queries(spark: SparkSession, base: str) -> DataFrame:
-    """The normal forms of every search text (its characters are folded already)."""
+    """The normal forms of every search text."""
     ks = F.col("ks")
-    forms = (text.index_normalize(ks, False).alias("indexed"), text.rank_normalize(ks, False).alias("ranked"), text.surface_normalize(ks, False).alias("surface"))
+    forms = (text.index_normalize(ks).alias("indexed"), text.rank_normalize(ks).alias("ranked"), text.surface_normalize(ks).alias("surface"))
     return load(spark, base, "user_search_log").select("ks").distinct().select("ks", *forms)
 
 
-@query()
+@query(f"""select distinct "職務名稱" as title, {_ranked('"職務名稱"')} as ranked, {sqltext.surface('"職務名稱"')} as surface, {sqltext.collapsed(sqltext.plain_width('"職務名稱"'))} as plain from job_posting""")
 def folded_titles(spark: SparkSession, base: str) -> DataFrame:
     """Titles in the folded normal forms, width and case included."""
     title = F.col("`職務名稱`")
@@ -132,14 +137,17 @@ def embedding_texts(spark: SparkSession, base: str) -> DataFrame:
     return load(spark, base, "job_posting").select("posting_row_id", text.embedding_text(F.col("`職務名稱`"), levels, F.col("`職務內容`")).alias("embedded"))
 
 
-@query("""select distinct ks, 'Boardtrace 焊接' as company_terms, concat_ws(' ', trim(ks), 'Acme', 'Boardtrace', case when contains(lower(ks), '焊接') then '焊接' end) as expansion, concat_ws(' ', '維修', trim(ks)) as recall
-from user_search_log where length(trim(ks)) between 1 and 100 and trim(ks) not in ('Acme', 'Boardtrace', '焊接', '維修')""")
+@query("""with q as (select distinct ks, coalesce(trim(ks), '') as q from user_search_log),
+e as (select ks, q, list_filter([q, 'Acme', 'Boardtrace', case when contains(lower(q), '焊接') then '焊接' end], lambda x: x is not null and x <> '') as a, list_filter(['維修', q], lambda x: x <> '') as b from q),
+u as (select ks, q, list_filter(a, lambda x, i: list_position(a, x) = i) as a, list_filter(b, lambda x, i: list_position(b, x) = i) as b from e),
+f as (select ks, q, list_filter(a, lambda x, i: list_sum(list_transform(a[1:i], lambda y: length(y) + 1)) <= 480) as a, list_filter(b, lambda x, i: list_sum(list_transform(b[1:i], lambda y: length(y) + 1)) <= 480) as b from u)
+select ks, case when len(a) > 0 then array_to_string(a, ' ') else substr(q, 1, 480) end as expansion, case when len(b) > 0 then array_to_string(b, ' ') else substr(q, 1, 480) end as recall from f""")
 def query_expansions(spark: SparkSession, base: str) -> DataFrame:
     """Search texts with the company and the terms they may be widened by."""
-    rows = load(spark, base, "user_search_log").select("ks").distinct().filter("length(trim(ks)) between 1 and 100 and trim(ks) not in ('Acme', 'Boardtrace', '焊接', '維修')")
-    q = F.trim("ks")
+    rows = load(spark, base, "user_search_log").select("ks").distinct()
+    q = F.coalesce(F.trim("ks"), F.lit(""))
     kept = F.array(F.lit("Boardtrace"), F.lit("焊接"))
-    return rows.select("ks", F.lit("Boardtrace 焊接").alias("company_terms"), text.query_expansion(q, F.lit("Acme"), kept).alias("expansion"), text.recall_expansion(q, F.array(F.lit("維修"))).alias("recall"))
+    return rows.select("ks", text.query_expansion(q, F.lit("Acme"), kept).alias("expansion"), text.recall_expansion(q, F.array(F.lit("維修"))).alias("recall"))
 
 
 PAY = """select posting_row_id, case when lo <> 0 and hi <> 0 and hi < lo then hi else lo end as low, case when lo <> 0 and hi <> 0 and hi < lo then lo else hi end as high, kind from (
@@ -186,21 +194,11 @@ def posting_freshness(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("posting_row_id", fields.freshness(F.col("at"), F.lit(low), F.lit(high)).alias("freshness"))
 
 
-@query("""select posting_row_id, case when contains("工作城市", '市') then 1.0::double else -1.0 end as place, case when contains(coalesce("職務小類", ''), '護理') or contains(coalesce("職務名稱", ''), '護理') then 2.4::double else -10.0 end as duty,
-len(list_filter(["職務大類", "職務中類", "職務小類"], lambda x: x is not null and x <> '' and x <> 'NULL')) as levels from job_posting where "工作城市" is not null""")
-def place_and_duty(spark: SparkSession, base: str) -> DataFrame:
-    """Signed matches of place and duty names, and the filled levels; only of postings with a city, as in the SQL."""
-    return _place_and_duty(load(spark, base, "job_posting").filter(F.col("`工作城市`").isNotNull()))
-
-
 @query("""select posting_row_id, case when contains("工作城市", '市') then 1.0::double else -1.0 end as place, case when contains(coalesce("職務小類", ''), '護理') or contains(coalesce("職務名稱", ''), '護理') then 2.4::double else -10.0 end as duty,
 len(list_filter(["職務大類", "職務中類", "職務小類"], lambda x: x is not null and x <> '' and x <> 'NULL')) as levels from job_posting""")
-def place_and_duty_of_all(spark: SparkSession, base: str) -> DataFrame:
-    """The same of all postings: without a city the wanted place is missed."""
-    return _place_and_duty(load(spark, base, "job_posting"))
-
-
-def _place_and_duty(rows: DataFrame) -> DataFrame:
+def place_and_duty(spark: SparkSession, base: str) -> DataFrame:
+    """Signed matches of place and duty names, and the filled levels; without a city the wanted place is missed."""
+    rows = load(spark, base, "job_posting")
     names = F.array(F.lit("護理"))
     duty = fields.any_contains(names, F.coalesce(F.col("`職務小類`"), F.lit(""))) | fields.any_contains(names, F.coalesce(F.col("`職務名稱`"), F.lit("")))
     place = fields.signed_match(F.array(F.lit("市")), fields.any_contains(F.array(F.lit("市")), F.col("`工作城市`")))

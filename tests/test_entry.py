@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import subprocess
 import sys
 
@@ -52,28 +51,12 @@ def test_query(spark, con, name):
         assert difference(query, sql, spark, BASE, con) == ""
 
 
-@needs_data
-def test_names_in_searches(spark):
-    from lodestream.plans.graph_queries import alias_map
-
-    texts = {r.ks for r in spark.read.parquet(f"{BASE}/user_search_log.parquet").select("ks").collect() if r.ks}
-    bounded = lambda n, t: re.search("(?<![a-z0-9+#])" + re.escape(n) + "(?![a-z0-9+#])", t) if n.isascii() else n in t
-    want = {(t, r.alias, r.node) for r in alias_map(spark, BASE).collect() for t in texts if bounded(r.alias, t.lower())}
-    got = [tuple(r) for r in entry.queries()["names_in_searches"](spark, BASE).collect()]
-    assert set(got) == want and len(got) == len(want) and any(a.isascii() for _, a, _ in want)
-    labels = {r.label.lower() for r in spark.read.parquet(f"{BASE}/skill_node.parquet").collect() if r.label}
-    found = {r.ks: set(r.names.split("|")) for r in entry.queries()["labels_in_searches"](spark, BASE).collect()}
-    for t in texts:
-        named = {n for n in labels if n and bounded(n, t.lower())}
-        assert found.get(t, set()) <= named and bool(named) == (t in found)
-
-
 @needs_data
 def test_no_row_is_left_out(spark):
     searches, postings = (spark.read.parquet(f"{BASE}/{n}.parquet") for n in ("user_search_log", "job_posting"))
-    codes = entry.queries()["closed_codes_of_all"](spark, BASE)
+    codes = entry.queries()["closed_codes"](spark, BASE)
     assert codes.select("search_id").distinct().count() == searches.select("search_id").distinct().count()
-    places = entry.queries()["place_and_duty_of_all"](spark, BASE)
+    places = entry.queries()["place_and_duty"](spark, BASE)
     assert places.count() == postings.count()
     cityless = postings.filter("`工作城市` is null").select("posting_row_id")
     assert {r.place for r in places.join(cityless, "posting_row_id").collect()} == {-1.0}

@@ -36,7 +36,7 @@ def test_lexical_units(spark):
     assert got == [{"c++", "node.js", "資料分", "資料", "料分"}, set(), set()]
 
 
-@pytest.mark.parametrize(("query", "surface", "found"), [("learn java now", "java", True), ("javascript", "java", False), ("c++", "c", False), ("c", "c", True), ("javascript java", "java", True), ("學java課", "java", True), ("護理師", "護理", True), ("x", "", False), ("a.b", "a.b", True), ("axb", "a.b", False)])
+@pytest.mark.parametrize(("query", "surface", "found"), [("learn java now", "java", True), ("javascript", "java", False), ("c++", "c", False), ("c", "c", True), ("javascript java", "java", True), ("學java課", "java", True), ("護理師", "護理", True), ("x", "", False), ("a.b", "a.b", True), ("axb", "a.b", False), ("用 react.js 開發", "react", False), ("react.", "react", False), (".net core", "net", False), ("react/vue", "react", True)])
 def test_surface_in_text(spark, query, surface, found):
     df = spark.createDataFrame([(query, surface)], "q string, s string")
     assert df.select(text.surface_in_text(F.col("q"), F.col("s"))).first()[0] is found
@@ -76,6 +76,10 @@ def test_overlaps_and_boundaries():
     assert words(matching.scan_automaton(few), "xa b") == ["b"] and words(matching.scan_consuming(few), "xa b") == []
     assert words(matching.scan_consuming(["java"], {"java": ["java島"]}), "java島 java") == ["java"]
     assert matching.scan_windows({"護理": "n", "護理師": "m", "師": "x"})("護理師護理護理師") == ["m", "n"]
+    for scan in (matching.scan_automaton(["react", "net", "c"]), matching.scan_consuming(["react", "net", "c"])):
+        assert words(scan, "用 react.js 開發 .net c++ c# c") == ["c"] and words(scan, "react/net,c") == ["react", "net", "c"]
+    blocked = matching.scan_consuming(["go", "java"], {"go": ["go shop", "to go", ""], "java": ["go java"]})
+    assert words(blocked, "go shop to go go java, go") == ["go", "go"]
     assert matching.scan_automaton([])("a") == [] and matching.scan_consuming([])("a") == []
 
 
@@ -94,6 +98,38 @@ def test_automaton_is_leftmost_longest(names, body):
     assert matching.scan_automaton(names)(folded) == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("aＢ 臺ß\u3000\t.+#/-㍿", max_size=30))
+def test_folding_keeps_places(body):
+    import re
+    import unicodedata
+
+    one = lambda t: unicodedata.normalize("NFKC", t).casefold().replace("臺", "台")
+    folded, places = matching.fold_with_places(body)
+    whole = re.sub(r"\s+", " ", "".join(map(one, body))).strip()
+    assert folded == re.sub(r"\s*([.+#/-])\s*", r"\1", whole)
+    assert all(c == " " or c in one(body[p]) for c, p in zip(folded, places, strict=True))
+
+
+def test_clauses():
+    def said(body, name):
+        at = body.index(name)
+        clauses = matching.Clauses(body)
+        return clauses.negated(at, at + len(name)), clauses.level(at, at + len(name))
+
+    assert said("熟悉 java；不需 python", "java") == (False, "required")
+    assert said("熟悉 java；不需 python", "python") == (True, "mentioned")
+    assert said("java 非必要", "java") == (True, "mentioned") and said("會 java。非必要", "java") == (False, "mentioned")
+    assert said("熟悉 java 尤佳", "java") == (False, "preferred") and said("not  required: java", "java") == (True, "mentioned")
+    assert said("不需" + "一" * 30 + "java", "java") == (False, "mentioned")
+    assert said("java", "java") == (False, "mentioned")
+
+
+def test_matched_names_of_the_engine(spark):
+    df = spark.createDataFrame([("用 react.js 與 c++、護理師 react",)], "t string")
+    assert df.select(matching.matched_names(F.col("t"), ["react", "c", "c++", "護理", "護理師"])).first()[0] == ["c++", "護理師", "react"]
+
+
 def test_mentions(spark):
     body = "必須熟悉 Ｊａｖａ；不需要 Python。具 C++ 者尤佳\n臺語"
     df = spark.createDataFrame([(body,), (None,), ("",)], "t string")
