@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm import leak, mix, quality
+from lodestream.llm import cooccur, leak, mix, quality
 from lodestream.llm.cooccur import pair_supports
 from lodestream.llm.leak import holds_stretch, leaked_items, letters
 from lodestream.llm.nearest import nearest_in_time
@@ -53,11 +53,11 @@ def baskets(seed: int) -> list:
     return rows
 
 
-@pytest.mark.parametrize(("heavy_share", "block_rows", "least"), [(1 / 64, 32_768, 1), (9.0, 16, 1), (0.1, 16, 1), (0.1, 10, 5), (0.0, 20, 3)])
-def test_pair_supports(spark, heavy_share, block_rows, least):
-    rows = baskets(int(heavy_share * 10) + least)
+@pytest.mark.parametrize(("heavy", "block_weight", "part", "least"), [(None, 32_768, 512, 1), (0, 16, 512, 1), (6, 30, 5, 1), (25, 10, 4, 5), (40, 100, 512, 1), (3, 10_000, 3, 2), (12, 200, 512, 3)])
+def test_pair_supports(spark, heavy, block_weight, part, least):
+    rows = baskets((heavy or 0) + least)
     df = spark.createDataFrame(rows, "job string, company string, skills array<string>").withColumn("owner", F.lit("clash")).withColumn("a", F.lit(1))
-    out = pair_supports(df, basket="job", owner="company", items="skills", min_support=least, heavy_share=heavy_share, block_rows=block_rows)
+    out = pair_supports(df, basket="job", owner="company", items="skills", min_support=least, heavy=heavy, block_weight=block_weight, part=part)
     got = {(r.source_id, r.target_id): (r.support_jobs, r.support_companies, r.lift, r.npmi) for r in out.collect()}
     held, owners = defaultdict(set), defaultdict(set)
     for job, company, items in rows:
@@ -78,6 +78,45 @@ def test_pair_supports(spark, heavy_share, block_rows, least):
         assert (lift, npmi) == pytest.approx((true, math.log(true) / -math.log(jobs[x, y] / n)), abs=1e-6)
 
 
+def test_pairs_of_a_very_long_basket(spark):
+    long, other = [f"s{i}" for i in range(20_000)], [f"s{i}" for i in range(0, 20_000, 16)]
+    df = spark.createDataFrame([("a", "x", long), ("b", "x", other), ("c", None, other[:3]), ("d", "y", [])], "job string, company string, skills array<string>")
+    out = pair_supports(df, basket="job", owner="company", items="skills", min_support=2)
+    supports = {(r.support_jobs, r.support_companies): r.n for r in out.groupBy("support_jobs", "support_companies").agg(F.count("*").alias("n")).collect()}
+    assert supports == {(2, 1): 1250 * 1249 // 2 - 3, (3, 1): 3}
+
+
+@pytest.mark.parametrize("sizes", [[1] * 300, [0] * 50 + [1, 2, 3, 4, 5, 33, 64, 65, 130, 200], [700], [2] * 90, []])
+def test_matrix_and_hash_agree(sizes):
+    import pyarrow as pa
+
+    rng = random.Random(len(sizes))
+    owners = [None if not n else f"o{i}" for i, n in enumerate(sizes) for _ in range(max(1, n))]
+    named = [o is not None and int(o[1:]) % 5 == 4 for o in owners]
+    items = [sorted({f"s{min(39, int(rng.expovariate(0.1)))}" for _ in range(6)}) for _ in owners]
+    primary = [rng.random() < 0.9 for _ in owners]
+    table = pa.table({"owner": pa.array(owners, pa.string()), "named": pa.array(named, pa.bool_()), "primary": pa.array(primary, pa.bool_()), "items": pa.array(items, pa.list_(pa.string())), "others": pa.array([None] * len(owners), pa.list_(pa.string()))})
+
+    def counts(heavy):
+        jobs, companies, names = defaultdict(int), defaultdict(int), defaultdict(set)
+        for r in cooccur.count_block(table, pa.array([f"s{i}" for i in range(heavy)], pa.string())).to_pylist():
+            assert r["a"] < r["b"]
+            jobs[r["a"], r["b"]] += r["jobs"]
+            companies[r["a"], r["b"]] += r["owners"]
+            if r["owner"] is not None:
+                names[r["a"], r["b"]].add(r["owner"])
+        return {p: (jobs[p], companies[p] + len(names[p])) for p in jobs}
+
+    want_jobs, want_owners = defaultdict(int), defaultdict(set)
+    for o, p, own in zip(owners, primary, items, strict=True):
+        for pair in itertools.combinations(own, 2):
+            want_jobs[pair] += p
+            want_owners[pair] |= {o} - {None}
+    want = {k: (n, len(want_owners[k])) for k, n in want_jobs.items() if n or want_owners[k]}
+    for heavy in (0, 3, 20, 40):
+        assert counts(heavy) == want
+
+
 def test_pair_supports_of_nothing(spark):
     df = spark.createDataFrame([("a", "b", None)], "job string, company string, skills array<string>")
     for x in (df, df.limit(0)):
