@@ -1,13 +1,16 @@
 """Evaluation passages inside training documents.
 
-Size-partitioned MinHash containment search: test items are cut into short stretches;
-documents are partitioned by size, and each partition has as many hash bins as it takes for
-a document that holds the least part of a stretch to share one bin's minimum with it, up to
-a stated chance of a miss. Candidates are verified by exact shingle containment and then by
-a letter-by-letter comparison along the diagonals on which shingles agree.
-
-The items travel to the workers in blocks of a stated size; the documents are read once per
-block and never shuffled.
+Size-partitioned MinHash containment search. Documents are cut into pieces, pieces are
+partitioned by size, and each size class has a sketch size: the pieces keep their least
+hashes of q letters in a row (bottom-k MinHash), so many that a passage at the limit of the
+definition leaves at least two of its shingles in the sketch, up to a stated chance of a miss.
+The items keep all their shingles with their places, so that shingles which agree lie on a
+diagonal; a diagonal with two of them is a candidate, verified by exact shingle containment
+and then letter by letter.
+
+The documents are read once, whatever the number of items. An index of the items up to a
+stated size travels to the documents; a larger one meets their sketches in a shuffled join on
+the hash.
 """
 
 from __future__ import annotations
@@ -16,105 +19,100 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestream.session import bounded_rows
+from lodestream.llm.texts import TAG, code_points
+from lodestream.session import cut_lineage
 
-TAG = re.compile(r"<[^<>]{0,2000}>")
 SIGN = re.compile(r"[\W_]+")
+#: Agreeing shingles that make a diagonal a candidate.
+HITS = 2
+#: Ratio of the sizes of neighbouring size classes.
+CLASS = 2**0.25
+SHINGLES = "q int, hash bigint, item bigint, place int, always boolean"
 
 
 def letters(text: str | None) -> str:
     """Only letters, digits and ideographs, in lower case and plain width, 臺 as 台, without markup."""
     if not text:
         return ""
-    bare = html.unescape(TAG.sub("", text))
+    bare = html.unescape(TAG.sub("", text)) if "<" in text or "&" in text else text
     return SIGN.sub("", unicodedata.normalize("NFKC", bare).lower().replace("臺", "台"))
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def shingles(codes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """For each of the ascending sizes, a 64-bit hash of every so many letters in a row; a longer one continues a shorter."""
+    out, h, done = {}, np.zeros(len(codes), np.uint64), 0
+    for q in sizes:
+        n = max(0, len(codes) - q + 1)
+        with np.errstate(over="ignore"):
+            h = h[:n].copy()
+            for j in range(done, q if n else done):
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h += codes[j : j + n]
+                h += np.uint64(1)
+            x = h ^ (h >> np.uint64(30))
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(27)
+            x *= np.uint64(0x94D049BB133111EB)
+            out[q] = x ^ (x >> np.uint64(31))
+        done = q
+    return out
+
+
+@cache
+def surviving(least: int, share: int, q: int) -> int:
+    """Shingles of a passage that are left at least, if at most one letter in `share` is replaced.
+
+    A passage of twice the least length or more holds a shorter one that qualifies (one of its
+    halves), so lengths up to that are looked at.
+    """
+    return min(n - n // share - (n // share + 1) * (q - 1) for n in range(least, 2 * least))
+
+
+def shingle_size(least: int, share: int, survivors: int) -> int:
+    """The longest shingles of which so many survive: the longer, the fewer agree by chance."""
+    return max((q for q in range(1, least) if surviving(least, share, q) >= survivors), default=1)
+
 
+def sampling_share(survivors: int, miss: float) -> float:
+    """Share of a piece's shingles in its sketch, so that fewer than HITS of the survivors are in it with probability `miss`."""
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        p = (low + high) / 2
+        tail = (1 - p) ** survivors + survivors * p * (1 - p) ** (survivors - 1)
+        low, high = (p, high) if tail > miss else (low, p)
+    return high
 
-def shingles(codes: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of every q letters in a row."""
-    n = len(codes) - q + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for j in range(q):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n].astype(np.uint64) + np.uint64(1)
-        h ^= h >> np.uint64(30)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(27)
-        h *= np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
 
+def sketch_size(distinct: int, share: float) -> int:
+    """How many hashes a piece keeps: its size class's number."""
+    return ceil(share * CLASS ** ceil(log(max(1, distinct), CLASS)))
 
-def distinct(hashes: np.ndarray) -> np.ndarray:
-    """Each hash once, in order."""
+
+def sketch(hashes: np.ndarray, share: float) -> np.ndarray:
+    """Which shingles are in the piece's sketch: those whose hash is one of the least."""
     ordered = np.sort(hashes)
-    keep = np.ones(len(ordered), bool)
-    keep[1:] = ordered[1:] != ordered[:-1]
-    return ordered[keep]
-
-
-def minima(ordered: np.ndarray, bins: int) -> np.ndarray:
-    """MinHash by one permutation: of hashes in order, the least of each bin that isn't empty."""
-    own = (ordered % np.uint64(bins)).astype(np.int64)
-    least = np.full(bins, -1)
-    least[own[::-1]] = np.arange(len(own))[::-1]  # the last to be written is the least
-    return ordered[least[least >= 0]]
-
-
-class Lists:
-    """For each of many hashes, who holds it."""
-
-    def __init__(self, held: list[np.ndarray]):
-        hashes = np.concatenate(held) if held else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
-        order = np.argsort(hashes, kind="stable")
-        self.owner = owner[order]
-        self.known, first = np.unique(hashes[order], return_index=True)
-        self.bounds = np.append(first, len(hashes))
-
-    def holders(self, hashes: np.ndarray) -> np.ndarray:
-        """Who holds one of the hashes, once for each that is held."""
-        if not len(self.known):
-            return self.owner
-        at = np.searchsorted(self.known, hashes)
-        at[at == len(self.known)] = 0
-        at = at[self.known[at] == hashes]
-        lo, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-        return self.owner[np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-
-
-def surviving(length: int, share: int, q: int) -> int:
-    """Shingles of a passage that are left at least, if at most one letter in `share` is replaced."""
-    replaced = length // share
-    return max(1, length - replaced - (replaced + 1) * (q - 1))
-
-
-def surest(least: int, share: int, q: int, step: int) -> int:
-    """Shingles that the best of a passage's stretches keeps at least.
-
-    Any passage of twice the least length or more holds a shorter one that qualifies, too (one
-    of its halves). One of length n holds the stretches of width least - step + 1 that begin at
-    multiples of step; the first and the last of them have `common` shingles in common. So
-    letters replaced there harm both, all others only one of the two, and the better of the
-    two loses no more than both lose on average.
-    """
-    width = least - step + 1
-    own, kept = width - q + 1, []
-    for n in range(least, 2 * least):
-        lost, common = q * (n // share), max(0, own - (n - least) // step * step)
-        kept.append(own - min(lost, common) - max(0, lost - common) // 2)
-    return max(1, min(kept))
+    ordered = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+    k = sketch_size(len(ordered), share)
+    return np.ones(len(hashes), bool) if k >= len(ordered) else hashes <= ordered[k - 1]
+
+
+def repetitive(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Which shingles lie within `width` of an equal one: passages with them leave fewer distinct ones in a sketch."""
+    order = np.lexsort((np.arange(len(hashes)), hashes))
+    near = (hashes[order][1:] == hashes[order][:-1]) & (np.diff(order) < width)
+    out, twice = np.zeros(len(hashes) + 1, np.int64), order[1:][near]
+    np.add.at(out, np.maximum(0, twice - width), 1)
+    np.add.at(out, np.minimum(len(hashes), twice + width), -1)
+    return np.cumsum(out)[:-1] > 0
 
 
 def holds_stretch(document: np.ndarray, item: np.ndarray, least: int, share: int) -> bool:
@@ -128,103 +126,58 @@ def holds_stretch(document: np.ndarray, item: np.ndarray, least: int, share: int
     return bool((f[least:] >= lowest[: n + 1 - least]).any())
 
 
-class Items:
-    """The test items of one block, searched for in one document after the other."""
-
-    def __init__(self, rows: list[tuple[int, str, int]], *, share: int, q: int, miss: float, piece: int):
-        self.share, self.q, self.miss, self.piece = share, q, miss, piece
-        self.ids, self.codes, self.least, self.grams, self.enough = [], [], [], [], []
-        self.stretch_item: list[int] = []
-        self.stretches: list[np.ndarray] = []
-        self.need: list[int] = []
-        self.usual: list[int] = []
-        self.overlap = q
-        for item_id, text, least in rows:
-            codes = code_points(letters(text))
-            if len(codes) < least:
-                continue
-            own = len(self.ids)
-            self.ids.append(item_id)
-            self.codes.append(codes)
-            self.least.append(least)
-            hashes = shingles(codes, q)
-            self.grams.append(hashes)
-            self.enough.append(min(surviving(n, share, q) for n in range(least, 2 * least)))
-            # Any passage of the least length holds one stretch that begins at a multiple of step.
-            step = max(1, least // 5)
-            width = least - step + 1
-            kept = surest(least, share, q, step)
-            # A qualifying passage shorter than twice the least lies whole in one piece.
-            self.overlap = max(self.overlap, 2 * least + q)
-            for start in range(0, len(codes) - width + 1, step):
-                each, times = np.unique(hashes[start : start + width - q + 1], return_counts=True)
-                # A shingle is lost where all its occurrences are: the rarest are lost first.
-                lost = int(np.searchsorted(np.cumsum(np.sort(times)), times.sum() - kept, "right"))
-                self.stretches.append(each)
-                self.stretch_item.append(own)
-                self.need.append(max(1, len(each) - lost))
-                self.usual.append(kept)
-        self.piece = max(self.piece, 4 * self.overlap)
-        self.shingles = Lists(self.stretches)  # for exact containment
-        self.need_of, self.item_of = np.array(self.need, np.int64), np.array(self.stretch_item, np.int64)
-        # Stretches that repeat themselves keep too few distinct shingles for the bins: they are looked up whole.
-        none = np.zeros(0, np.uint64)
-        self.repetitive = Lists([s if n < u else none for s, n, u in zip(self.stretches, self.need, self.usual, strict=True)])
-        self.classes: dict[int, tuple[int, Lists]] = {}
-
-    def size_class(self, n: int) -> tuple[int, Lists]:
-        """Bins of the documents with so many shingles, and who holds which of the stretches' minima."""
-        upper = 1 << max(6, (n - 1).bit_length())
-        if upper not in self.classes:
-            need, size = min(self.usual, default=1), max(map(len, self.stretches), default=1)
-            p = 1 - self.miss ** (1 / need)  # a surviving shingle must be least in its bin this often
-            bins = max(64, int(np.ceil((upper + size) * p / (1 - p))))
-            self.classes[upper] = bins, Lists([minima(s, bins) for s in self.stretches])
-        return self.classes[upper]
-
-    def found(self, text: str | None) -> list[int]:
-        codes = code_points(letters(text))
-        hit: set[int] = set()
-        step = self.piece - self.overlap
-        for start in range(0, max(1, len(codes) - self.overlap), step):
-            self._search(codes[start : start + self.piece], hit)
-        return sorted({self.ids[i] for i in hit})
-
-    def _search(self, codes: np.ndarray, hit: set[int]) -> None:
-        hashes = shingles(codes, self.q)
-        if not len(hashes) or not self.stretches:
-            return
-        bins, sketches = self.size_class(len(hashes))
-        own = distinct(hashes)
-        candidates = np.zeros(len(self.stretches), bool)
-        candidates[sketches.holders(minima(own, bins))] = True
-        candidates[self.repetitive.holders(own)] = True
-        if not candidates.any():
-            return
-        shared = np.bincount(self.shingles.holders(own), minlength=len(candidates))
-        items = set(self.item_of[candidates & (shared >= self.need_of)].tolist()) - hit
-        if not items:
-            return
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        for i in items:
-            if self._verified(codes, order, ordered, i):
-                hit.add(i)
-
-    def _verified(self, codes: np.ndarray, order: np.ndarray, ordered: np.ndarray, i: int) -> bool:
-        """Whether the item has a stretch in the piece: every diagonal with enough shingles is compared letter by letter."""
-        grams, item, least = self.grams[i], self.codes[i], self.least[i]
-        lo, hi = np.searchsorted(ordered, grams, "left"), np.searchsorted(ordered, grams, "right")
-        sizes = hi - lo
-        if sizes.sum() < self.enough[i]:
-            return False
-        at = order[np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-        diagonals = np.bincount(at - np.repeat(np.arange(len(grams)), sizes) + len(grams))
-        for d in (np.flatnonzero(diagonals >= self.enough[i]) - len(grams)).tolist():
-            a, b = max(0, d), min(len(codes), len(item) + d)
-            if holds_stretch(codes[a:b], item[a - d : b - d], least, self.share):
-                return True
+def verified(piece: np.ndarray, item: np.ndarray, diagonal: int, least: int, share: int, q: int) -> bool:
+    """Whether the item, laid beside the piece from place `diagonal` on, has a stretch in it."""
+    a, b = max(0, diagonal), min(len(piece), len(item) + diagonal)
+    if b - a < least:
+        return False
+    here, there = piece[a:b], item[a - diagonal : b - diagonal]
+    wrong = np.zeros(b - a + 1, np.int64)
+    np.cumsum(here != there, out=wrong[1:])
+    if np.count_nonzero(wrong[q:] == wrong[:-q]) < surviving(least, share, q):  # exact shingle containment
         return False
+    return holds_stretch(here, there, least, share)
+
+
+def pieces(codes: np.ndarray, size: int, overlap: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, piece) of a document; a passage up to `overlap` long lies whole in one of them."""
+    for start in range(0, max(1, len(codes) - overlap), size - overlap):
+        yield start, codes[start : start + size]
+
+
+class Index:
+    """The items' shingles with their places, looked up by hash."""
+
+    def __init__(self, table: pa.Table, items: dict[int, tuple]):
+        q, hashes, item, place, always = (table.column(c).to_numpy() for c in ("q", "hash", "item", "place", "always"))
+        own, item = np.unique(item, return_inverse=True)
+        self.items, self.by_size = [items[i] for i in own.tolist()], {}
+        for size in np.unique(q).tolist():
+            own = np.flatnonzero(q == size)
+            own = own[np.argsort(hashes[own].view(np.uint64), kind="stable")]
+            known, first = np.unique(hashes[own].view(np.uint64), return_index=True)
+            self.by_size[size] = known, np.append(first, len(own)), item[own], place[own].astype(np.int64), np.logical_or.reduceat(always[own], first)
+
+    def candidates(self, codes: np.ndarray, share: float) -> list[tuple[int, int]]:
+        """(item, diagonal) on which HITS shingles of the piece's sketch agree."""
+        found: list[tuple[int, int]] = []
+        for q, hashes in shingles(codes, list(self.by_size)).items():
+            known, bounds, item, place, always = self.by_size[q]
+            if not len(hashes) or not len(known):
+                continue
+            slot = np.searchsorted(known, hashes)
+            slot[slot == len(known)] = 0
+            at = np.flatnonzero(known[slot] == hashes)
+            if len(at) < HITS:
+                continue
+            at = at[sketch(hashes, share)[at] | always[slot[at]]]
+            slot = slot[at]
+            sizes = bounds[slot + 1] - bounds[slot]
+            which = np.repeat(bounds[slot] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            span = 1 << 32
+            key, n = np.unique(item[which] * span + (np.repeat(at, sizes) - place[which] + span // 2), return_counts=True)
+            found += [(k // span, k % span - span // 2) for k in key[n >= HITS].tolist()]
+        return found
 
 
 def leaked_items(
@@ -237,10 +190,10 @@ def leaked_items(
     item_text: str,
     least: F.Column,
     share: int = 12,
-    q: int = 6,
-    miss: float = 1e-4,
+    survivors: int = 18,
+    miss: float = 1e-3,
     piece: int = 4096,
-    block_items: int = 5_000,
+    index_bound: int = 1_000_000,
 ) -> DataFrame:
     """Rows (doc_id, item_id): the document holds a stretch of the item.
 
@@ -248,29 +201,97 @@ def leaked_items(
     items), at most one in `share` of them replaced by another; other signs, markup, case,
     width and 臺/台 don't matter. Texts are read whole; documents longer than `piece` letters
     are searched piece by piece, pieces overlapping by more than twice the least length: a
-    passage that is longer than the overlap holds a shorter one that qualifies. Null and blank
-    texts hold nothing, items shorter than `least` are in no document; repeated rows give one.
+    passage that is longer than the overlap holds a shorter one that qualifies. miss: the
+    chance that the sketch misses a passage at the very limit of the definition; shingles of
+    passages that repeat themselves are looked up whether they are in a sketch or not. Null
+    and blank texts hold nothing, items shorter than `least` are in no document; repeated rows
+    give one. index_bound: shingles of items up to which their index is broadcast (about 30
+    bytes each); a larger index is joined by a shuffle, with the same result.
     """
-    n = items.count()
-    blocks = -(-n // block_items)
-    schema = f"doc_id {documents.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}"
+    spark = documents.sparkSession
+    arrow_item = to_arrow_type(items.schema[item_id].dataType)
+    doc_type, item_type = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(r"(?U)\S"))
-    wanted = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"), least.cast("int").alias("least")).filter("text is not null and least is not null")
-    found = None
-    for k in range(max(1, blocks)):
-        block = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))) == k)
-        rows = [(r.item_id, r.text, r.least) for r in bounded_rows(block, 2 * block_items + 1000, "a block of test items")]
-
-        def search(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
-            searched = Items(rows, share=share, q=q, miss=miss, piece=piece)
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, body, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folded = letters(body)
+                if 0 < n <= len(folded):
+                    q = shingle_size(n, share, survivors)
+                    yield pa.RecordBatch.from_arrays([pa.array([own], batch.schema.field(0).type), pa.array([folded]), *(pa.array([x], pa.int32()) for x in (n, q))], names=["item_id", "letters", "least", "q"])
+
+    wanted = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"), least.cast("int").alias("least")).filter("item_id is not null and text is not null and least is not null").distinct()
+    wanted = cut_lineage(wanted.mapInArrow(prepare, f"item_id {item_type}, letters string, least int, q int").withColumn("item", F.monotonically_increasing_id()), "test-items")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, folded, n, q in zip(*(batch.column(c).to_pylist() for c in ("item", "letters", "least", "q")), strict=True):
+                hashes = shingles(code_points(folded), [q])[q]
+                rows = len(hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(rows, q, np.int32)), pa.array(hashes.view(np.int64)), pa.array(np.full(rows, own, np.int64)), pa.array(np.arange(rows, dtype=np.int32)), pa.array(repetitive(hashes, 2 * n))],
+                    names=["q", "hash", "item", "place", "always"],
+                )
+
+    index = cut_lineage(wanted.select("item", "letters", "least", "q").mapInArrow(spread, SHINGLES), "test-shingles")
+    kinds = [(r.q, r.least) for r in wanted.select("q", "least").distinct().collect()]  # one row per kind of item
+    sizes = sorted({q for q, _ in kinds})
+    sampled = sampling_share(min((surviving(n, share, q) for q, n in kinds), default=survivors), miss)
+    overlap = max((2 * n + q for q, n in kinds), default=1)
+    size = max(piece, 4 * overlap)
+    few = index.limit(index_bound + 1).count() <= index_bound
+
+    if few:
+        table = index.toArrow()
+        names = spark.sparkContext.broadcast((table, {r.item: (r.item_id, r.least, r.q, code_points(r.letters)) for r in wanted.collect()}))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Index(*names.value)
             for batch in batches:
                 docs, hits = [], []
                 for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = searched.found(body)
-                    docs += [doc] * len(own)
-                    hits += own
-                yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(hits, pa.int64())], names=["doc_id", "item_id"])
-
-        one = source.mapInArrow(search, schema)
-        found = one if found is None else found.unionByName(one)
-    return found.distinct()
+                    hit = set()
+                    for _, codes in pieces(code_points(letters(body)), size, overlap):
+                        for own, diagonal in known.candidates(codes, sampled):
+                            name, n, q, item = known.items[own]
+                            if name not in hit and verified(codes, item, diagonal, n, share, q):
+                                hit.add(name)
+                    docs += [doc] * len(hit)
+                    hits += hit
+                yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(hits, arrow_item)], names=["doc_id", "item_id"])
+
+        return source.mapInArrow(search, f"doc_id {doc_type}, item_id {item_type}").distinct()
+
+    always = index.filter("always").select("q", "hash").distinct()
+    repeated = [(r.q, r.hash) for r in always.limit(index_bound + 1).collect()]
+    every = len(repeated) > index_bound  # then all shingles are looked up
+    kept = spark.sparkContext.broadcast({q: np.sort(np.array([h for k, h in repeated if k == q], np.int64).view(np.uint64)) for q in sizes})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for start, codes in pieces(code_points(letters(body)), size, overlap):
+                    yield pa.RecordBatch.from_arrays([pa.array([doc], batch.schema.field(0).type), pa.array([start], pa.int64()), pa.array([codes.tobytes().decode("utf-32-le", "surrogatepass")])], names=["doc_id", "start", "piece"])
+
+    cut_pieces = source.mapInArrow(cut, f"doc_id {doc_type}, start bigint, piece string").distinct()
+    cut_pieces = cut_lineage(cut_pieces.withColumn("no", F.monotonically_increasing_id()), "pieces")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for q, hashes in shingles(code_points(body), sizes).items():
+                    at = np.arange(len(hashes)) if every else np.flatnonzero(sketch(hashes, sampled) | np.isin(hashes, kept.value[q]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), no, np.int64)), pa.array(np.full(len(at), q, np.int32)), pa.array(hashes[at].view(np.int64)), pa.array(at.astype(np.int32))], names=["no", "q", "hash", "at"])
+
+    met = cut_pieces.select("no", "piece").mapInArrow(sketched, "no bigint, q int, hash bigint, at int").join(index, ["q", "hash"])
+    diagonals = met.groupBy("no", "item", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HITS)
+    pairs = diagonals.join(cut_pieces, "no").join(wanted, "item").select("doc_id", "item_id", "piece", "letters", "diagonal", "least", "q")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("piece", "letters", "diagonal", "least", "q")), strict=True)
+            good = [verified(code_points(a), code_points(b), d, n, share, q) for a, b, d, n, q in rows]
+            yield batch.select(["doc_id", "item_id"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.mapInArrow(check, f"doc_id {doc_type}, item_id {item_type}").distinct()
