@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -372,8 +372,9 @@ def test_mixing_plan():
 
 def test_tails_are_exact(spark):
     rng = random.Random(8)
-    rows = [(rng.choice("st"), rng.choice(["zh", "en"]), rng.choice([0.0, 0.0, round(rng.random(), 1)])) for _ in range(400)]
-    got = {(r.statistic, r.language, r.value): (r.left, r.right) for r in quality.tail_probabilities(spark.createDataFrame(rows, "statistic string, language string, value double")).collect()}
+    rows = [(rng.choice([0, 1]), rng.choice(["zh", "en"]), rng.choice([0.0, 0.0, round(rng.random(), 1)])) for _ in range(400)]
+    counted = spark.createDataFrame([(*k, n) for k, n in Counter(rows).items()], "statistic int, language string, value double, n long")
+    got = {(r.statistic, r.language, r.value): (r.left, r.right) for r in quality.tail_probabilities(counted).collect()}
     assert got.keys() == set(rows)
     for (s, lang, v), (left, right) in got.items():
         values = [x[2] for x in rows if x[:2] == (s, lang)]
@@ -381,6 +382,36 @@ def test_tails_are_exact(spark):
         assert right == pytest.approx(-math.log(sum(x >= v for x in values) / len(values)))
 
 
+def test_statistics_by_definition():
+    import re
+
+    han, kana = "㐀-䶿一-鿿\uf900-\ufaff", "ぁ-ヺ"
+    common = quality.CommonWords([("zh", "的"), ("zh", "我們"), ("en", "The"), ("en", "is")])
+    texts = ["我們的 abc1 12\n的，好", "The cat is here. Is it? 3.5 this\n\n- x", "<p style='" + "z" * 4000 + "'>第一行<br/>第二行。</p>", "かな カナー123", "�a?b│|", "", " \n", "<<<", "ａ" * 3000, "\ud800x", "İ the"]
+    langs, values = quality.measure(texts, common)
+    rows = [dict(zip(quality.STATISTICS, v, strict=True)) for v in values.tolist()]
+    assert langs[:4] == ["zh", "en", "zh", "ja"] and langs[5:8] == ["und"] * 3
+    for t, lang, r in zip(texts, langs, rows, strict=True):
+        words = re.findall(rf"[{han}]|[{kana}ー]+|[^\W\d_{han}{kana}ー]+|\d+", t)
+        assert r["words"] == len(words) and r["mean_word"] == pytest.approx(sum(map(len, words)) / max(1, len(words)))
+        visible = max(1, len("".join(t.split())))
+        assert r["symbols"] == pytest.approx(sum(not c.isspace() and not c.isalpha() and not c.isdigit() for c in t) / visible)
+        lines = [x.strip() for x in re.split(r"[\r\n]+|<br/>", t) if x.strip()]
+        assert r["line_ends"] == pytest.approx(sum(x[-1] in quality.ENDS for x in lines) / max(1, len(lines))) and r["mean_line"] == pytest.approx(sum(map(len, lines)) / max(1, len(lines)))
+        assert r["distinct"] == pytest.approx(len(set(zip(t, t[1:], strict=False))) / max(1, len(t) - 1))
+        bare = quality.TAG.sub("", t)
+        assert r["markup"] == pytest.approx((len(t) - len(bare)) / max(1, len(t)))
+        pieces = [x.strip() for x in re.split(rf"[{quality.SEPARATORS}]", bare) if x.strip()]
+        assert r["piece"] == pytest.approx(sum(map(len, pieces)) / max(1, len(pieces)))
+        long = 9 if lang in ("zh", "ja") else 30
+        assert r["long_pieces"] == pytest.approx(sum(len(x) for x in pieces if len(x) >= long) / max(1, sum(map(len, pieces))))
+    assert rows[0]["common"] == pytest.approx(4 / 8) and rows[0]["common_pieces"] == pytest.approx(2 / 3)
+    assert rows[1]["common"] == pytest.approx(3 / 10) and rows[1]["sentences"] == pytest.approx(2 / 10)
+    assert rows[4]["broken"] == pytest.approx(2 / 6) and rows[4]["drawn"] == pytest.approx(2 / 6) and rows[2]["markup"] > 0.99
+    one_by_one = np.concatenate([quality.measure([t], common)[1] for t in texts])
+    assert (one_by_one == values).all() and quality.measure([], common)[0] == []
+
+
 PROSE = "我們在市場旁的辦公室工作，每天都會和同事一起檢查訂單。如果客人有問題，我們會請他先坐下，然後再慢慢說明。"
 
 
