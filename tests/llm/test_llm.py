@@ -124,16 +124,19 @@ def test_pair_supports_of_nothing(spark):
 
 
 NODES = [("n1", "HM/UI", []), ("n2", "前端介面開發", ["網頁切版"]), ("n3", "Node.kx", None), ("n4", "D++", []), ("n5", "D#", []), ("n6", "資安巡檢初階", []), ("n7", "Kora", []), ("n8", "KoraScript", ["Kora Script語言"]), ("n9", "X系統", ["共用名"]), ("n10", "Y系統", ["共用名"])]
-SURFACES = {
+#: Texts beside names that stand as they are, from which to learn what is written around names.
+EVIDENCE = {"Kora 相關經驗": "n7", "D++相關經驗": "n4", "Kora(必備)": "n7", "HM/UI(必備)": "n1", "Kora 熟練": "n7", "D#熟練": "n5", "D++操作": "n4", "Kora操作": "n7", "D++能力": "n4", "D#能力": "n5", "Kora v1": "n7", "D# v2": "n5", "Kora(1)": "n7", "D++(2)": "n4", "D++經驗": "n4", "D# 經驗": "n5", "熟悉D#": "n5", "熟悉 Kora": "n7", "精通D#": "n5", "精通 Kora": "n7", "具Kora": "n7", "具 HM/UI": "n1"}
+SURFACES = EVIDENCE | {
     "hm/ui (3.2)": "n1", "ＨＭ／ＵＩ相關經驗": "n1", "前端界面開發": "n2", "前介端面開發": "n2", "前端介面開": "n2", "前端介面面開發": "n2", "熟悉網頁切版(必備)": "n2", "前端・介面_開發": "n2",
     "node kx 熟練": "n3", "精通 nodekx": "n3", "d++操作": "n4", "d#": "n5", "具資安巡檢初階能力": "n6", "資安巡检初阶": "n6", "kora v9.4": "n7", "korascrpt": "n8", "kora script言": "n8",
+    "Kora" + "經驗" * 12: "n7", "精通" * 11 + "熟悉kora(必備)操作": "n7", "資安巡檢初階經驗能力": "n6",
     "共用名": None, "皮革染色": None, "umbrevue經驗": None, "無": None, "": None, None: None, "?" * 5000: None, "經驗" * 20_000: None, "1" * 30_000: None,
 }
 
 
 def test_closest_entries(spark):
     nodes = spark.createDataFrame(NODES, "node_id string, label string, aliases array<string>")
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*SURFACES, "hm/ui (3.2)"])], "id long, t string").withColumn("form", F.lit("clash"))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*SURFACES, "hm/ui (3.2)"])], "id long, t string").withColumn("form", F.lit("clash")).withColumn("plain", F.lit("clash"))
     matched = closest_entries(rows, nodes, text="t", node_id="node_id", label="label", aliases="aliases")
     got = {r.text: r.node_id for r in matched.collect()}
     assert got == {k: v for k, v in SURFACES.items() if v}
@@ -142,6 +145,49 @@ def test_closest_entries(spark):
     assert closest_entries(rows.limit(0), nodes, text="t", node_id="node_id", label="label", aliases="aliases").count() == 0
 
 
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_entries_equal_brute_force(spark):
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    names = sorted({some(rng.choice([1, 2, 3, 3, 4, 5, 6, 7, 8, 9, 12])) for _ in range(60)})
+    typed = set()
+    for _ in range(300):
+        t = list(rng.choice(names))
+        for _ in range(rng.randint(0, 2)):
+            at, what = rng.randrange(len(t) + 1), rng.randint(0, 3)
+            if what == 3 and at + 1 < len(t):
+                t[at], t[at + 1] = t[at + 1], t[at]
+            else:
+                t[at : at + (what > 0)] = [rng.choice("abcd")] if what < 2 else []
+        typed.add("".join(t))
+    typed -= {""}
+
+    def distance(t: str, n: str) -> int | None:
+        d = edits(t, n)
+        swapped = d == 2 and any(t[:i] + t[i + 1] + t[i] + t[i + 2 :] == n for i in range(len(t) - 1))
+        if d and len(n) < 3 or d > 2 or (d == 2 and not swapped and len(n) < 8):
+            return None
+        return 1 if swapped else d
+
+    want = {}
+    for t in typed:
+        near = sorted((d, -len(n), n) for n in names if (d := distance(t, n)) is not None)
+        best = [n for d, k, n in near if (d, k) == near[0][:2]]
+        if len(best) == 1:
+            want[t] = (best[0], near[0][0])
+    nodes = spark.createDataFrame([(n, n, None) for n in names], "node_id string, label string, aliases array<string>")
+    found = closest_entries(spark.createDataFrame([(t,) for t in typed], "t string"), nodes, text="t", node_id="node_id", label="label", aliases="aliases", least_names=10**6)
+    assert {r.text: (r.node_id, r.distance) for r in found.collect()} == want and len(want) > 100
+
+
 def postings(spark, n: int, late: int = 0):
     rows = [(i, f"p{i % (n // 2 + 1)}" if i % 17 else None, f"w{i * 10 // 2000}") for i in range(n)] + [(9000 + i, f"new{i}", "w9") for i in range(late)]
     return spark.createDataFrame(rows, "row long, posting string, week string")
