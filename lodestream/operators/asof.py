@@ -12,6 +12,8 @@ hold too many events are salted, their few states being copied to every salt.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -69,7 +71,7 @@ def as_of(events: DataFrame, versions: DataFrame, *, slice_seconds: int = 86_400
     state_type = versions.schema["state"].dataType
     passed = [c for c in events.columns if c not in ("key", "at")]
     sliced = events.withColumn("slice", F.floor(F.col("at") / width))
-    counts = sliced.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(sliced.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("n")), "slices")
     hot = counts.filter(F.col("n") > max_group).select("key", "slice", F.ceil(F.col("n") / max_group).cast("int").alias("salts"))
     n_events, n_hot = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > max_group)).first()
     buckets = max(partitions(spark), -(-n_events // max_group))
@@ -99,16 +101,18 @@ def as_of(events: DataFrame, versions: DataFrame, *, slice_seconds: int = 86_400
     def lookup(events: pa.Table, versions: pa.Table) -> pa.Table:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB"})
-        con.register("arrived", events)
-        con.register("known", versions)
-        names = ", ".join(f'e."{c}"' for c in passed)
-        # a version at a slice's very start is newer than what was carried into the slice
-        return con.sql(f"""
-            with v as (select "key", "at", arg_max("state", "own") as "state" from known group by "key", "at")
-            select e."key", e."at"{", " * bool(names)}{names}, v."state"
-            from arrived as e asof left join v on e."key" = v."key" and e."at" >= v."at"
-        """).to_arrow_table()
+        # what doesn't fit the memory goes where the engine itself spills, and is gone with the task
+        local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+        with tempfile.TemporaryDirectory(prefix="asof-", dir=local) as spill, duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": spill}) as con:
+            con.register("arrived", events)
+            con.register("known", versions)
+            names = ", ".join(f'e."{c}"' for c in passed)
+            # a version at a slice's very start is newer than what was carried into the slice
+            return con.sql(f"""
+                with v as (select "key", "at", arg_max("state", "own") as "state" from known group by "key", "at")
+                select e."key", e."at"{", " * bool(names)}{names}, v."state"
+                from arrived as e asof left join v on e."key" = v."key" and e."at" >= v."at"
+            """).to_arrow_table()
 
     out = left.drop("bucket").withColumn("state", F.lit(None).cast(state_type)).schema
     return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(lookup, out)

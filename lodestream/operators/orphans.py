@@ -1,11 +1,12 @@
 """References to records that don't exist at the moment of the reference.
 
-Keys become integers within hash ranges; per range and day one bitmap tells which keys are
-referenced, and two more which keys of the parent table change on that day and which have
-changed an odd number of times. The running XOR of the latter is the set of keys that exist
-as the day begins. Referenced AND NOT (existing throughout) leaves the suspects: those that
-exist at no moment of the day are orphans, and only the few that come or go within the day
-need the exact lookup by time.
+Keys become integers in the order in which they stand, within hash partitions; for each range
+of 65,536 of them and each day a compressed bitmap tells which keys are referenced, and two
+more which keys of the parent table change on that day and which change an odd number of
+times. The running XOR of the latter is the set of keys that exist as the day begins.
+Referenced AND NOT (existing throughout) leaves the suspects: those that exist at no moment
+of the day are orphans, and only the few that come or go within the day need the exact lookup
+by time.
 """
 
 from __future__ import annotations
@@ -14,15 +15,124 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators.asof import as_of
-from lodestream.session import cut_lineage, partitions
+from lodestream.session import cut_lineage
 
 DAY = 86_400_000_000
-#: Keys in one bitmap, as the engine's own bitmap functions have it.
-BITS = 32_768
+#: Days that stand in one integer while the rows of a key are brought together.
+BLOCK = 64
+#: Keys of one range, and keys up to which a set is kept as a list.
+RANGE, SPARSE = 1 << 16, 1 << 12
+
+
+class Bitmap:
+    """A set of numbers below RANGE: a sorted list while it is small (two bytes each), else a bit for each number."""
+
+    __slots__ = ("values",)
+
+    def __init__(self, values: np.ndarray):
+        if values.dtype == np.uint8:
+            self.values = values if int(np.bitwise_count(values).sum()) > SPARSE else np.flatnonzero(np.unpackbits(values, bitorder="little")).astype(np.uint16)
+        else:
+            self.values = values.astype(np.uint16) if len(values) <= SPARSE else Bitmap.bits_of(values)
+
+    @staticmethod
+    def bits_of(values: np.ndarray) -> np.ndarray:
+        if values.dtype == np.uint8:
+            return values
+        flags = np.zeros(RANGE, bool)
+        flags[values] = True
+        return np.packbits(flags, bitorder="little")
+
+    def numbers(self) -> np.ndarray:
+        return np.flatnonzero(np.unpackbits(self.values, bitorder="little")) if self.values.dtype == np.uint8 else self.values.astype(np.int64)
+
+    def _with(self, other: Bitmap, lists, bits) -> Bitmap:
+        if self.values.dtype == other.values.dtype == np.uint16:
+            return Bitmap(lists(self.values, other.values).astype(np.uint32))
+        return Bitmap(bits(Bitmap.bits_of(self.values), Bitmap.bits_of(other.values)))
+
+    def and_not(self, other: Bitmap) -> Bitmap:
+        if self.values.dtype == np.uint16 and other.values.dtype == np.uint8:
+            own = self.values
+            return Bitmap(own[other.values[own >> 3] >> (own & 7) & 1 == 0].astype(np.uint32))
+        return self._with(other, lambda a, b: np.setdiff1d(a, b, assume_unique=True), lambda a, b: a & ~b)
+
+    def either(self, other: Bitmap) -> Bitmap:
+        return self._with(other, np.union1d, np.bitwise_or)
+
+    def one_of(self, other: Bitmap) -> Bitmap:
+        return self._with(other, lambda a, b: np.setxor1d(a, b, assume_unique=True), np.bitwise_xor)
+
+
+def suspects_of_range(code: np.ndarray, block: np.ndarray, sets: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, day, sure) of one range of keys, from rows (code, block of days, a bit per day in each of asked, moved, odd)."""
+    maps: dict[int, dict[str, Bitmap]] = {}
+    for name, bits in sets.items():
+        some = np.flatnonzero(bits)
+        row, bit = np.nonzero(np.unpackbits(bits[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        day, own = block[some][row] * BLOCK + bit, code[some][row]
+        order = np.lexsort((own, day))
+        day, own = day[order], own[order]
+        for d, members in zip(*np.unique(day, return_index=True), strict=True) if len(day) else ():
+            stop = np.searchsorted(day, d, "right")
+            maps.setdefault(int(d), {})[name] = Bitmap(own[members:stop].astype(np.uint32))
+    none = Bitmap(np.zeros(0, np.uint32))
+    exists, found = none, []
+    for day in sorted(maps):
+        asked, moved, odd = (maps[day].get(n, none) for n in ("asked", "moved", "odd"))
+        left = asked.and_not(exists.and_not(moved))
+        unsure = left.and_not(left.and_not(exists.either(moved)))
+        codes = left.numbers()
+        if len(codes):
+            found.append((codes, np.full(len(codes), day), ~np.isin(codes, unsure.numbers())))
+        exists = exists.one_of(odd)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+
+
+def unaccounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, day, sure) from rows (key, block, asked, moved, odd) that are ordered by key and block.
+
+    Keys get their numbers as they come; only one range's keys and bits are held at a time.
+    """
+    names, codes, rest = [], [], []  # the range's dictionary and rows
+
+    def flush() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(rest)
+        columns = {n: whole.column(n).to_numpy() for n in ("block", "asked", "moved", "odd")}
+        code, day, sure = suspects_of_range(np.concatenate(codes), columns.pop("block").astype(np.int64), columns)
+        keys = pa.concat_arrays(names).take(pa.array(code))
+        return pa.RecordBatch.from_arrays([keys, pa.array(day.astype(np.int32)), pa.array(sure)], names=["key", "day", "sure"])
+
+    last, known = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        coded = batch.column("key").dictionary_encode()  # keys stand together, so that they get numbers in their order
+        number, keys = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        goes_on = keys[0].as_py() == last
+        first = known - 1 if goes_on else known
+        begin = 0
+        while begin < batch.num_rows:
+            room = RANGE - first  # numbers from 0 to room - 1 belong to this range
+            stop = int(np.searchsorted(number, room, "left"))
+            if stop > begin:
+                low, high = int(number[begin]), int(number[stop - 1])
+                fresh = low + (goes_on and low == 0)
+                names.append(keys.slice(fresh, high + 1 - fresh))
+                codes.append(number[begin:stop] + first)
+                rest.append(batch.slice(begin, stop - begin))
+            if stop < batch.num_rows:
+                yield flush()
+                names, codes, rest = [], [], []
+                first = -int(number[stop])
+            begin = stop
+        known, last = int(number[-1]) + first + 1, keys[-1].as_py()
+    if rest:
+        yield flush()
 
 
 def suspects(references: DataFrame, flips: DataFrame) -> DataFrame:
@@ -30,43 +140,18 @@ def suspects(references: DataFrame, flips: DataFrame) -> DataFrame:
 
     references: (key, day). flips: (key, at): microseconds at which a key begins or ceases to
     exist, alternately, beginning with the former. sure: it exists at no moment of the day.
+    A key's days are brought together as bits before anything is shuffled, so that a key that
+    is referenced very often is one row for every 64 days.
     """
-    ranges = partitions(references.sparkSession)
-    kinds = {"asked": 0, "moved": 1, "odd": 2}
-    # the distinct keys of each day are written, as bitmaps and dictionary both read them
-    asked = cut_lineage(references.filter("key is not null and day is not null").select("key", "day").distinct(), "asked").withColumn("kind", F.lit(kinds["asked"]))
-    moved = flips.groupBy("key", F.floor(F.col("at") / DAY).cast("int").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    moved = moved.withColumn("kind", F.explode(F.when(F.col("n") % 2 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    rows = asked.unionByName(moved.select("key", "day", "kind")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
-    coded = rows.withColumn("code", F.dense_rank().over(Window.partitionBy("bucket").orderBy("key")).cast("bigint"))
-    coded = coded.withColumn("range", F.expr("bitmap_bucket_number(code)")).withColumn("bit", F.expr("bitmap_bit_position(code)"))
-    bitmaps = coded.groupBy("bucket", "range", "day").agg(*[F.expr(f"bitmap_construct_agg(bit) filter (where kind = {k})").alias(n) for n, k in kinds.items()])
-
-    def and_not(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Days of one range: three bitmaps of 4 KB each, whatever the number of rows.
-        table = pa.Table.from_batches(list(batches)).sort_by("day")
-        exists = np.zeros(BITS // 8, np.uint8)
-        for day, *maps in zip(*(table.column(c).to_pylist() for c in ("day", "asked", "moved", "odd")), strict=True):
-            asked, moved, odd = (np.frombuffer(m, np.uint8) for m in maps)
-            left = asked & ~(exists & ~moved)
-            if left.any():
-                sure = left & ~(exists | moved)
-                bits = np.flatnonzero(np.unpackbits(left, bitorder="little"))
-                n = len(bits)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, key[0].as_py(), np.int32)),
-                        pa.array(bits + (key[1].as_py() - 1) * BITS + 1, pa.int64()),
-                        pa.array(np.full(n, day, np.int32)),
-                        pa.array(np.unpackbits(sure, bitorder="little")[bits].astype(bool)),
-                    ],
-                    names=["bucket", "code", "day", "sure"],
-                )
-            exists = exists ^ odd
-
-    left = bitmaps.groupBy("bucket", "range").applyInArrow(and_not, "bucket int, code bigint, day int, sure boolean")
-    dictionary = coded.groupBy("bucket", "code").agg(F.first("key").alias("key"))
-    return left.join(dictionary, ["bucket", "code"]).select("key", "day", "sure")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(day, {BLOCK}) as int))")
+    zero = F.lit(0).cast("bigint")
+    asked = references.filter("key is not null and day is not null").select("key", "day", bit.alias("asked"), zero.alias("moved"), zero.alias("odd"))
+    moved = flips.select("key", F.floor(F.col("at") / DAY).cast("int").alias("day")).select("key", "day", zero.alias("asked"), bit.alias("moved"), bit.alias("odd"))
+    rows = asked.unionByName(moved).groupBy("key", F.expr(f"cast(floor(day / {BLOCK}) as int)").alias("block"))
+    rows = rows.agg(F.bit_or("asked").alias("asked"), F.bit_or("moved").alias("moved"), F.bit_xor("odd").alias("odd"))
+    ordered = rows.repartition("key").sortWithinPartitions("key", "block")
+
+    return ordered.mapInArrow(unaccounted, "key string, day int, sure boolean")
 
 
 def orphan_references(references: DataFrame, versions: DataFrame, *, exists: str, slice_seconds: int = 86_400, max_group: int = 200_000) -> DataFrame:

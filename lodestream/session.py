@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,11 +39,15 @@ def load(spark: SparkSession, base: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) a temporary folder is used.
+    Only where that setting is absent on a single machine (tests), a temporary folder is used;
+    on a cluster it has to be set, since a folder of one machine would lose rows.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
     key = "spark.lodestream.fallback.dir"
     made = spark.conf.get(key, None)
     if not made or not os.path.isdir(made):
@@ -55,11 +60,14 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Unlike a block-manager copy it outlives executors, and unlike recomputation it is
-    the same rows for every reader, even after task retries.
+    the same rows for every reader, even after task retries. The table goes when the driver's
+    process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestream.functions.scalars import local_timestamp, micros, whole_number
+from lodestream.operators import orphans
 from lodestream.operators.asof import attributes_as_of, current_state_versions
 from lodestream.operators.orphans import orphan_references
 from lodestream.operators.packed import Segmenter, known_values, split_packed
@@ -162,3 +165,42 @@ def test_numbers_and_times(spark):
     assert [r[0] for r in df.select(local_timestamp(F.col("t"))).collect()] == want
     got = [r[0] for r in df.select(micros(local_timestamp(F.col("t")))).collect()]
     assert got == [w and round((w - dt.datetime(1970, 1, 1)).total_seconds() * 1e6) for w in want]
+
+
+def test_bitmaps():
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.choice(orphans.RANGE, n, replace=False)) for n in (0, 1, 50, 4096, 4097, 9000, 65536)]
+    for a in sets:
+        for b in sets:
+            x, y = orphans.Bitmap(a), orphans.Bitmap(b)
+            assert x.values.nbytes <= 8192
+            for got, want in ((x.and_not(y), np.setdiff1d(a, b)), (x.either(y), np.union1d(a, b)), (x.one_of(y), np.setxor1d(a, b))):
+                assert (got.numbers() == want).all() and len(got.numbers()) == len(want)
+                assert (got.values.dtype == np.uint16) == (len(want) <= orphans.SPARSE)
+
+
+def test_ranges_of_keys():
+    rng = random.Random(3)
+    rows, want = [], set()
+    for k in range(150_000):
+        if rng.random() < 0.3:
+            continue
+        key, exists = f"{k:07d}", False
+        days = {rng.randint(-70, 70): [rng.random() < 0.7, rng.choice([0, 0, 0, 1, 2])] for _ in range(rng.randint(1, 3))}
+        for day in sorted(days):
+            asked, n = days[day]
+            if asked and not (exists and not n):
+                want.add((key, day, not exists and not n))
+            exists ^= n % 2 == 1
+        blocks = {}
+        for day, (asked, n) in days.items():
+            x = blocks.setdefault(day // 64, [0, 0, 0])
+            for i, flag in enumerate((asked, n > 0, n % 2 == 1)):
+                x[i] |= flag << day % 64
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        rows += [(key, b, *map(signed, x)) for b, x in sorted(blocks.items())]
+    table = pa.table({n: pa.array(c, t) for n, c, t in zip(("key", "block", "asked", "moved", "odd"), zip(*rows, strict=True), (pa.string(), pa.int32(), *[pa.int64()] * 3), strict=True)})
+    for size in (999, 70_000, len(rows)):
+        got = pa.Table.from_batches(list(orphans.unaccounted(iter([*table.to_batches(size), *table.slice(0, 0).to_batches()]))))
+        assert {tuple(r.values()) for r in got.to_pylist()} == want and got.num_rows == len(want)
+    assert list(orphans.unaccounted(iter([]))) == []
