@@ -150,7 +150,7 @@ rates as (
     from sizes window w as (order by epoch rows between unbounded preceding and 1 preceding)
 )
 select posting_row_id, job_no, s.epoch, round(rate, 9) as rate from rows join seen s using (job_no) join rates r on r.epoch = s.epoch
-where cast(concat('0x', substr(sha256(concat('{SEED}', ':0:', job_no)), 1, 13)) as bigint) / 4503599627370496.0::double < rate"""
+where cast(concat('0x', substr(sha256(concat('{SEED}', ':', s.epoch, ':', job_no)), 1, 13)) as bigint) / 4503599627370496.0::double < rate"""
     return {
         "p4_found": BASKETS + "select source_id, target_id from scored where support_jobs >= 20 and support_companies >= 5 and lift >= 2 and npmi >= 0.15",
         "p4_pairs": BASKETS + "select * from scored",

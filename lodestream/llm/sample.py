@@ -2,7 +2,7 @@
 
 The first time a record is seen, its epoch is written down, and with it the rate that was
 fixed for that epoch. A record is chosen if a counter-based generator, keyed by its
-identifier, falls below that rate: so nothing that comes later can change the choice.
+identifier and counting epochs, falls below that rate: so nothing that comes later can change the choice.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from lodestream.session import broadcast_if_small, cut_lineage, shared_folder
 SPAN = float(1 << 52)
 
 
-def uniform(identifier: Column, seed: str, counter: int = 0) -> Column:
-    """A number in [0, 1) of the identifier alone: SHA-256 of seed, counter and identifier as block function."""
-    block = F.sha2(F.concat_ws(":", F.lit(seed), F.lit(str(counter)), identifier), 256)
+def uniform(identifier: Column, seed: str, counter: Column) -> Column:
+    """The number in [0, 1) that a counter-based generator keyed by seed and identifier gives at a counter: SHA-256 as block function."""
+    block = F.sha2(F.concat_ws(":", F.lit(seed), counter.cast("string"), identifier), 256)
     return F.conv(F.substring(block, 1, 13), 16, 10).cast("bigint") / F.lit(SPAN)
 
 
@@ -95,5 +95,5 @@ def stable_sample(df: DataFrame, registry: DataFrame, *, identifier: Column, see
     Rows with a null identifier are never chosen. df's own columns named id, epoch or rate
     give way to the sample's.
     """
-    chosen = registry.filter(uniform(F.col("id"), seed) < F.col("rate")).select(F.col("id").alias("__id"), "epoch", "rate")
+    chosen = registry.filter(uniform(F.col("id"), seed, F.col("epoch")) < F.col("rate")).select(F.col("id").alias("__id"), "epoch", "rate")
     return df.withColumn("__id", identifier).drop("id", "epoch", "rate").join(chosen, "__id").withColumnRenamed("__id", "id")

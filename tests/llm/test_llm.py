@@ -224,7 +224,9 @@ def test_sample_is_stable(spark):
 
 
 def test_sampling_numbers(spark):
-    u = [r[0] for r in spark.range(4000).select(uniform(F.col("id").cast("string"), "s")).collect()]
+    u = [r[0] for r in spark.range(4000).select(uniform(F.col("id").cast("string"), "s", F.lit("w1"))).collect()]
+    other = [r[0] for r in spark.range(4000).select(uniform(F.col("id").cast("string"), "s", F.lit("w2"))).collect()]
+    assert abs(np.corrcoef(u, other)[0, 1]) < 0.06
     assert 0 <= min(u) and max(u) < 1 and abs(np.mean(u) - 0.5) < 0.02
     seen = first_seen(postings(spark, 1000), identifier=F.col("posting"), epoch=F.col("week"))
     rates = {r.epoch: r.rate for r in frozen_rates(seen, target_per_epoch=30, floor=0.05).collect()}
