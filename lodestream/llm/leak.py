@@ -3,9 +3,9 @@
 Size-partitioned MinHash containment search. Documents are cut into pieces, pieces are
 partitioned by size, and each size class has a sketch size: the pieces keep their least
 hashes of q letters in a row (bottom-k MinHash), so many that a passage at the limit of the
-definition leaves at least two of its shingles in the sketch, up to a stated chance of a miss.
+definition leaves at least three of its shingles in the sketch, up to a stated chance of a miss.
 The items keep all their shingles with their places, so that shingles which agree lie on a
-diagonal; a diagonal with two of them is a candidate, verified by exact shingle containment
+diagonal; a diagonal with three of them is a candidate, verified by exact shingle containment
 and then letter by letter.
 
 The documents are read once, whatever the number of items. An index of the items up to a
@@ -18,9 +18,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
-from math import ceil, log
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestream.llm.texts import TAG, code_points
+from lodestream.llm.texts import TAG, code_points, portions
 from lodestream.session import cut_lineage
 
 SIGN = re.compile(r"[\W_]+")
 #: Agreeing shingles that make a diagonal a candidate.
-HITS = 2
+HITS = 3
 #: Ratio of the sizes of neighbouring size classes.
 CLASS = 2**0.25
+#: Letters that are searched at a time.
+TOGETHER = 1 << 18
 SHINGLES = "q int, hash bigint, item bigint, place int, always boolean"
 
 
@@ -87,22 +89,30 @@ def sampling_share(survivors: int, miss: float) -> float:
     low, high = 0.0, 1.0
     for _ in range(50):
         p = (low + high) / 2
-        tail = (1 - p) ** survivors + survivors * p * (1 - p) ** (survivors - 1)
+        tail = sum(comb(survivors, k) * p**k * (1 - p) ** (survivors - k) for k in range(HITS))
         low, high = (p, high) if tail > miss else (low, p)
     return high
 
 
-def sketch_size(distinct: int, share: float) -> int:
-    """How many hashes a piece keeps: its size class's number."""
-    return ceil(share * CLASS ** ceil(log(max(1, distinct), CLASS)))
-
-
-def sketch(hashes: np.ndarray, share: float) -> np.ndarray:
-    """Which shingles are in the piece's sketch: those whose hash is one of the least."""
-    ordered = np.sort(hashes)
-    ordered = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
-    k = sketch_size(len(ordered), share)
-    return np.ones(len(hashes), bool) if k >= len(ordered) else hashes <= ordered[k - 1]
+def sketch_sizes(distinct: np.ndarray, share: float) -> np.ndarray:
+    """How many hashes pieces with so many different ones keep: their size class's number."""
+    return np.ceil(share * CLASS ** np.ceil(np.log(np.maximum(1, distinct)) / log(CLASS) - 1e-9)).astype(np.int64)
+
+
+def sketches(hashes: np.ndarray, piece: np.ndarray, share: float) -> np.ndarray:
+    """Which shingles are in their piece's sketch: those whose hash is one of the least. piece: numbers, ascending."""
+    order = np.lexsort((hashes, piece))
+    ordered, own = hashes[order], piece[order]
+    begins = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
+    new = begins.copy()
+    new[1:] |= ordered[1:] != ordered[:-1]
+    rank = np.cumsum(new)
+    first = np.flatnonzero(begins)
+    last = np.append(first[1:], len(own))[: len(first)] - 1
+    kept = sketch_sizes(rank[last] - rank[first] + 1, share)
+    out = np.zeros(len(hashes), bool)
+    out[order] = rank - np.repeat(rank[first], last + 1 - first) < np.repeat(kept, last + 1 - first)
+    return out
 
 
 def repetitive(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -158,25 +168,39 @@ class Index:
             known, first = np.unique(hashes[own].view(np.uint64), return_index=True)
             self.by_size[size] = known, np.append(first, len(own)), item[own], place[own].astype(np.int64), np.logical_or.reduceat(always[own], first)
 
-    def candidates(self, codes: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """(item, diagonal) on which HITS shingles of the piece's sketch agree."""
-        found: list[tuple[int, int]] = []
+    def candidates(self, several: Sequence[np.ndarray], share: float) -> list[tuple[int, int, int]]:
+        """(number of the piece, item, diagonal) on which HITS shingles of the piece's sketch agree."""
+        sizes = np.fromiter(map(len, several), np.int64, len(several))
+        codes, first = np.concatenate([*several, np.zeros(0, np.uint32)]).astype(np.uint32), np.cumsum(sizes) - sizes
+        piece = np.repeat(np.arange(len(several)), sizes)
+        found: list[tuple[int, int, int]] = []
         for q, hashes in shingles(codes, list(self.by_size)).items():
             known, bounds, item, place, always = self.by_size[q]
-            if not len(hashes) or not len(known):
+            inside = np.flatnonzero(piece[: len(hashes)] == piece[q - 1 :]) if len(hashes) else np.zeros(0, np.int64)
+            if not len(inside):
                 continue
+            hashes = hashes[inside]
             slot = np.searchsorted(known, hashes)
             slot[slot == len(known)] = 0
             at = np.flatnonzero(known[slot] == hashes)
-            if len(at) < HITS:
+            own = piece[inside]
+            some = np.bincount(own[at], minlength=len(several)) >= HITS  # only their sketches matter
+            among = np.flatnonzero(some[own])
+            if not len(among):
                 continue
-            at = at[sketch(hashes, share)[at] | always[slot[at]]]
-            slot = slot[at]
-            sizes = bounds[slot + 1] - bounds[slot]
-            which = np.repeat(bounds[slot] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            span = 1 << 32
-            key, n = np.unique(item[which] * span + (np.repeat(at, sizes) - place[which] + span // 2), return_counts=True)
-            found += [(k // span, k % span - span // 2) for k in key[n >= HITS].tolist()]
+            chosen = np.zeros(len(hashes), bool)
+            chosen[among] = sketches(hashes[among], own[among], share)
+            at = at[chosen[at] | always[slot[at]]]
+            slot, at = slot[at], inside[at]
+            times = bounds[slot + 1] - bounds[slot]
+            which = np.repeat(bounds[slot] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            at = np.repeat(at, times)
+            middle = int(place.max()) + 1
+            span = middle + int(sizes.max()) + 1
+            key, n = np.unique((piece[at] * len(self.items) + item[which]) * span + (at - first[piece[at]] - place[which] + middle), return_counts=True)
+            key = key[n >= HITS]
+            pair, diagonal = key // span, key % span - middle
+            found += zip((pair // len(self.items)).tolist(), (pair % len(self.items)).tolist(), diagonal.tolist(), strict=True)
         return found
 
 
@@ -249,17 +273,19 @@ def leaked_items(
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Index(*names.value)
             for batch in batches:
-                docs, hits = [], []
-                for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    hit = set()
-                    for _, codes in pieces(code_points(letters(body)), size, overlap):
-                        for own, diagonal in known.candidates(codes, sampled):
-                            name, n, q, item = known.items[own]
-                            if name not in hit and verified(codes, item, diagonal, n, share, q):
-                                hit.add(name)
-                    docs += [doc] * len(hit)
-                    hits += hit
-                yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(hits, arrow_item)], names=["doc_id", "item_id"])
+                docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for begin, end in portions(texts, TOGETHER):
+                    holder, several = [], []
+                    for doc, body in zip(docs[begin:end], texts[begin:end], strict=True):
+                        for _, codes in pieces(code_points(letters(body)), size, overlap):
+                            holder.append(doc)
+                            several.append(codes)
+                    hits = {}
+                    for no, own, diagonal in known.candidates(several, sampled):
+                        name, n, q, item = known.items[own]
+                        if (holder[no], name) not in hits and verified(several[no], item, diagonal, n, share, q):
+                            hits[holder[no], name] = True
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in hits], batch.schema.field(0).type), pa.array([i for _, i in hits], arrow_item)], names=["doc_id", "item_id"])
 
         return source.mapInArrow(search, f"doc_id {doc_type}, item_id {item_type}").distinct()
 
@@ -281,7 +307,7 @@ def leaked_items(
         for batch in batches:
             for no, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for q, hashes in shingles(code_points(body), sizes).items():
-                    at = np.arange(len(hashes)) if every else np.flatnonzero(sketch(hashes, sampled) | np.isin(hashes, kept.value[q]))
+                    at = np.arange(len(hashes)) if every else np.flatnonzero(sketches(hashes, np.zeros(len(hashes), np.int64), sampled) | np.isin(hashes, kept.value[q]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), no, np.int64)), pa.array(np.full(len(at), q, np.int32)), pa.array(hashes[at].view(np.int64)), pa.array(at.astype(np.int32))], names=["no", "q", "hash", "at"])
 
     met = cut_pieces.select("no", "piece").mapInArrow(sketched, "no bigint, q int, hash bigint, at int").join(index, ["q", "hash"])

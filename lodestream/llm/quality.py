@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.texts import TAG
+from lodestream.llm.texts import TAG, portions
 from lodestream.session import bounded_rows, cut_lineage, partitions
 
 # Signs that end a sentence or a line of prose, that end a sentence wherever they
@@ -210,18 +210,6 @@ def measure(texts: Sequence[str], common: CommonWords) -> tuple[list[str], np.nd
     return languages, np.stack([values[s] for s in STATISTICS], axis=1).astype(float)
 
 
-def portions(texts: Sequence[str], size: int) -> Iterator[tuple[int, int]]:
-    """Texts in a row that have about `size` characters together."""
-    begin, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= size:
-            yield begin, i + 1
-            begin, n = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def document_statistics(documents: DataFrame, common: DataFrame, *, doc_id: str, text: str, max_words: int = 1_000_000) -> DataFrame:
     """Rows (doc_id, language, one column per statistic, to 4 decimals); null and blank texts have none.
 

@@ -292,18 +292,21 @@ def searched(item: str, least: int, miss: float = 1e-3):
     index, share = leak.Index(table, {7: (1, least, q, codes)}), leak.sampling_share(leak.surviving(least, 12, q), miss)
 
     def found(document: str) -> list[int]:
-        return sorted({1 for _, piece in leak.pieces(leak.code_points(document), 4096, 2 * least + q) for i, d in index.candidates(piece, share) if leak.verified(piece, codes, d, least, 12, q)})
+        several = [p for _, p in leak.pieces(leak.code_points(document), 4096, 2 * least + q)]
+        return sorted({1 for no, _, d in index.candidates(several, share) if leak.verified(several[no], codes, d, least, 12, q)})
 
     return found
 
 
 def test_sketch_sizes():
     assert [leak.shingle_size(n, 12, 18) for n in (50, 100)] == [6, 9] and [leak.surviving(50, 12, 6), leak.surviving(100, 12, 9)] == [21, 19]
-    assert 0.35 < leak.sampling_share(19, 1e-3) < 0.45
+    assert 0.45 < leak.sampling_share(19, 1e-3) < 0.55 and leak.sampling_share(3, 0.5) > leak.sampling_share(30, 0.5)
     rng = np.random.default_rng(3)
     for n in (1, 5, 60, 61, 400, 4000):
-        kept = np.count_nonzero(leak.sketch(rng.integers(0, 1 << 63, n).astype(np.uint64), 0.4))
-        assert 0.4 * n <= kept <= 0.4 * n * leak.CLASS + 2
+        hashes = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        kept = leak.sketches(np.concatenate([hashes, hashes, hashes[:1]]), np.repeat([3, 5, 8], [n, n, 1]), 0.4)
+        assert (kept[:n] == kept[n : 2 * n]).all() and kept[-1]
+        assert 0.4 * n <= kept[:n].sum() <= 0.4 * n * leak.CLASS + 2 and hashes[kept[:n]].max() <= np.sort(hashes)[kept[:n].sum() - 1]
 
 
 def test_shingles_of_two_sizes():
