@@ -163,40 +163,52 @@ def graph_scores(spark: SparkSession, base: str) -> DataFrame:
 
 
 OWNERS = f"""owners as (select key, max("廠商編號") as company from (select {number_sql('"職缺編號"')} as key, "廠商編號" from job_posting) where key is not null group by key)"""
+EARLIER = "coalesce(sum({0}) over (partition by {1} order by day rows between unbounded preceding and 1 preceding), 0) as {0}"
 FEATURES = f"""{WITH_GRADED}, {OWNERS},
-item as (select posting, count(*) as n, sum(cast(grade > 0 as int)) as pos, sum(grade) as grade_sum from graded group by 1),
-tot as (select sum(n) as n, sum(pos) as pos, sum(grade_sum) as grade_sum from item),
-comp as (select company, sum(n) as n, sum(pos) as pos, sum(grade_sum) as grade_sum from item left join owners on key = posting group by 1),
-qi as (select ks, posting, count(*) as n, sum(cast(grade > 0 as int)) as pos from graded group by all)"""
+dated as (select *, cast(search_time as date) as day from graded),
+item_day as (select posting, day, max(company) as company, count(*) as n, sum(cast(grade > 0 as int)) as pos, sum(grade) as grade_sum from dated left join owners on key = posting group by 1, 2),
+item as (select posting, day, company, {EARLIER.format("n", "posting")}, {EARLIER.format("pos", "posting")}, {EARLIER.format("grade_sum", "posting")} from item_day),
+tot as (select day, {EARLIER.format("n", "1")}, {EARLIER.format("pos", "1")}, {EARLIER.format("grade_sum", "1")} from (select day, sum(n) as n, sum(pos) as pos, sum(grade_sum) as grade_sum from item_day group by 1)),
+comp as (select company, day, {EARLIER.format("n", "company")}, {EARLIER.format("pos", "company")}, {EARLIER.format("grade_sum", "company")} from (select company, day, sum(n) as n, sum(pos) as pos, sum(grade_sum) as grade_sum from item_day group by 1, 2)),
+qi as (select ks, posting, day, {EARLIER.format("n", "ks, posting")}, {EARLIER.format("pos", "ks, posting")} from (select ks, posting, day, count(*) as n, sum(cast(grade > 0 as int)) as pos from dated group by all))"""
 
 
 def _behaviour(spark: SparkSession, base: str) -> DataFrame:
-    """Graded exposures with what is known of query, posting and company."""
-    rows = cut_lineage(graded(spark, base).withColumn("pos", (F.col("grade") > 0).cast("int")), "graded")
-    sums = lambda p: (F.count(F.lit(1)).alias(f"{p}_n"), F.sum("pos").alias(f"{p}_pos"), F.sum("grade").alias(f"{p}_grade"))
-    item = rows.groupBy("posting").agg(*sums("item"))
+    """Graded exposures with what was known of query, posting and company before their day: a row's own reaction is in none of its features."""
+    rows = graded(spark, base).withColumn("day", F.to_date("search_time")).withColumn("pos", (F.col("grade") > 0).cast("int"))
+    rows = cut_lineage(rows, "graded")
     owner = load(spark, base, "job_posting").select(whole_number(F.col("`職缺編號`")).alias("posting"), F.col("`廠商編號`").alias("company")).filter("posting is not null").groupBy("posting").agg(F.max("company").alias("company"))
-    item = item.join(owner, "posting", "left")
-    company = item.groupBy("company").agg(*[F.sum(f"item_{c}").alias(f"owner_{c}") for c in ("n", "pos", "grade")])
-    t = item.agg(*[F.coalesce(F.sum(f"item_{c}"), F.lit(0)).alias(c) for c in ("n", "pos", "grade")]).first()
-    prior, grade_prior = t.pos / max(1, t.n), t.grade / max(1, 2 * t.n)
-    item = item.join(company, item["company"].eqNullSafe(company["company"]), "left").drop(company["company"])
-    pair = rows.groupBy("ks", "posting").agg(F.count(F.lit(1)).alias("pair_n"), F.sum("pos").alias("pair_pos"))
+    daily = rows.groupBy("posting", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"), F.sum("grade").alias("grade")).join(owner, "posting", "left")
+    daily = cut_lineage(daily, "item-days")
+    sums = ["n", "pos", "grade"]
+
+    def before(df: DataFrame, keys: list[str], prefix: str, of: list[str] = sums) -> DataFrame:
+        per_day = df.groupBy(*keys, "day").agg(*[F.sum(c).alias(c) for c in of])
+        return joins.strictly_earlier(per_day, keys=keys, day="day", sums=of).select(*keys, "day", *[F.col(c).alias(f"{prefix}_{c}") for c in of])
+
+    total = F.broadcast(before(daily, [], "all"))  # one row a day
+    company = before(daily, ["company"], "owner").withColumnRenamed("company", "c").withColumnRenamed("day", "d")
+    item = before(daily, ["posting"], "item").join(daily.select("posting", "day", "company"), ["posting", "day"])
+    item = item.join(company, F.col("company").eqNullSafe(F.col("c")) & (F.col("day") == F.col("d"))).drop("c", "d", "company").join(total, "day")
+    pair = rows.groupBy("ks", "posting", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
+    pair = joins.strictly_earlier(pair, keys=["ks", "posting"], day="day", sums=["n", "pos"]).withColumnsRenamed({"n": "pair_n", "pos": "pair_pos"})
+    pair = pair.withColumnsRenamed({"ks": "k", "posting": "p", "day": "d"})
+    features = rows.join(item, ["posting", "day"]).join(pair, F.col("ks").eqNullSafe(F.col("k")) & (F.col("posting") == F.col("p")) & (F.col("day") == F.col("d")))
     r4 = lambda c: F.round(c, 4)
-    features = rows.join(item, "posting").join(pair, ["ks", "posting"])
+    prior, grade_prior = scoring.rate(F.col("all_pos"), F.col("all_n")), F.col("all_grade") / F.greatest(F.lit(1), 2 * F.col("all_n"))
     return features.select(
-        "search_id", "place", "posting", "grade", r4(scoring.rate(F.col("pair_pos"), F.col("pair_n"))).alias("query_item_rate"), F.lit(1.0).alias("query_item_seen"),
+        "search_id", "place", "posting", "grade", r4(scoring.rate(F.col("pair_pos"), F.col("pair_n"))).alias("query_item_rate"), (F.col("pair_n") > 0).cast("double").alias("query_item_seen"),
         r4(scoring.smoothed_rate(F.col("item_pos"), F.col("item_n"), prior, 5.0)).alias("item_rate_smoothed"), r4(scoring.smoothed_rate(F.col("item_grade") / 2.0, F.col("item_n"), grade_prior, 5.0)).alias("item_grade_smoothed"),
         r4(F.log1p("item_n")).alias("item_exposures_log"), r4(scoring.smoothed_rate(F.col("owner_pos"), F.col("owner_n"), prior, 20.0)).alias("owner_rate_smoothed"),
         r4(scoring.smoothed_rate(F.col("owner_grade") / 2.0, F.col("owner_n"), grade_prior, 20.0)).alias("owner_grade_smoothed"), r4(F.log1p("owner_n")).alias("owner_exposures_log"),
     )
 
 
-FEATURE_ROWS = f"""{FEATURES}, f as (select g.search_id, g.place, g.posting, g.grade, round(qi.pos / greatest(1, qi.n)::double, 4) as query_item_rate, 1.0::double as query_item_seen,
-    round((i.pos + 5.0::double * tot.pos / tot.n) / (i.n + 5.0::double), 4) as item_rate_smoothed, round((i.grade_sum / 2.0::double + 5.0::double * (tot.grade_sum / (2 * tot.n)::double)) / (i.n + 5.0::double), 4) as item_grade_smoothed,
-    round(ln(1 + i.n), 4) as item_exposures_log, round((c.pos + 20.0::double * tot.pos / tot.n) / (c.n + 20.0::double), 4) as owner_rate_smoothed,
-    round((c.grade_sum / 2.0::double + 20.0::double * (tot.grade_sum / (2 * tot.n)::double)) / (c.n + 20.0::double), 4) as owner_grade_smoothed, round(ln(1 + c.n), 4) as owner_exposures_log
-    from graded g join item i using (posting) left join owners o on o.key = g.posting left join comp c on c.company is not distinct from o.company join qi on qi.ks = g.ks and qi.posting = g.posting cross join tot)"""
+FEATURE_ROWS = f"""{FEATURES}, f as (select g.search_id, g.place, g.posting, g.grade, round(qi.pos / greatest(1, qi.n)::double, 4) as query_item_rate, cast(qi.n > 0 as int)::double as query_item_seen,
+    round((i.pos + 5.0::double * (tot.pos / greatest(1, tot.n)::double)) / (i.n + 5.0::double), 4) as item_rate_smoothed, round((i.grade_sum / 2.0::double + 5.0::double * (tot.grade_sum / greatest(1, 2 * tot.n)::double)) / (i.n + 5.0::double), 4) as item_grade_smoothed,
+    round(ln(1 + i.n), 4) as item_exposures_log, round((c.pos + 20.0::double * (tot.pos / greatest(1, tot.n)::double)) / (c.n + 20.0::double), 4) as owner_rate_smoothed,
+    round((c.grade_sum / 2.0::double + 20.0::double * (tot.grade_sum / greatest(1, 2 * tot.n)::double)) / (c.n + 20.0::double), 4) as owner_grade_smoothed, round(ln(1 + c.n), 4) as owner_exposures_log
+    from dated g join item i using (posting, day) join comp c on c.company is not distinct from i.company and c.day = g.day join qi on qi.ks is not distinct from g.ks and qi.posting = g.posting and qi.day = g.day join tot on tot.day = g.day)"""
 
 
 @query(FEATURE_ROWS + " select * from f")
