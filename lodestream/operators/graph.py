@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.operators.windows import mutual_neighbours
-from lodestream.session import bounded_rows, broadcast_if_small, cut_lineage
+from lodestream.session import broadcast_if_small, cut_lineage
 
 # Pairs of names that must never be taken for one.
 NEVER_MERGED = (("java", "javascript"), ("c", "c++"), ("c", "c#"), ("next.js", "react"))
@@ -61,32 +61,64 @@ def forbidden_merge(a: Column, b: Column, pairs: Iterable[tuple[str, str]] = NEV
     return pair.isin(*["\x00".join(sorted(p)) for p in pairs])
 
 
-def cooccurring_pairs(baskets: DataFrame, *, basket: str, owner: str, items: str, least: int = 1, evidence: int = 3) -> DataFrame:
-    """(source_id, target_id, support_jobs, support_companies, evidence): pairs of items in baskets.
+def item_rows(baskets: DataFrame, *, basket: str, items: str, evidence: str | None = None) -> DataFrame:
+    """(b, i, e): each basket's items once, with the least text that bears an item out, if evidence names a map of them."""
+    said = F.try_element_at(F.col(evidence), F.col("i")) if evidence else F.lit(None).cast("string")
+    rows = baskets.filter(F.col(basket).isNotNull()).select(F.col(basket).alias("b"), F.explode(items).alias("i"), *([evidence] if evidence else [])).filter("i is not null and trim(i) <> ''")
+    return rows.select("b", "i", F.nullif(said, F.lit("")).alias("e")).groupBy("b", "i").agg(F.min("e").alias("e"))
 
-    Items held by fewer than `least` baskets are taken out first, which changes no result.
-    Pairs are formed inside each basket's array and summed before they are shuffled;
-    evidence are the first baskets by id.
+
+def pair_rows(own: DataFrame, *, part: int = 512) -> DataFrame:
+    """(b, source_id, target_id, source_evidence, target_evidence): pairs of items within a basket, from rows (b, i, e).
+
+    A basket of more than `part` items is split into pairs of parts, which go to tasks of
+    their own before their pairs are formed.
     """
-    rows = baskets.filter(F.col(basket).isNotNull()).select(F.col(basket).alias("b"), F.col(owner).alias("o"), F.explode(items).alias("i")).filter("i is not null and trim(i) <> ''")
-    own = rows.groupBy("b", "i").agg(F.max("o").alias("o"))
+    sets = own.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("i", "e"))).alias("s")).filter(F.size("s") > 1)
+    parts = F.ceil(F.size("s") / part).cast("int")
+    cut = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.transform(F.sequence(p, parts - 1), lambda q: F.struct(p.alias("p"), q.alias("q"))))))
+    long = sets.filter(F.size("s") > part).select("b", "s", cut.alias("c")).select("b", F.slice("s", F.col("c.p") * part + 1, F.lit(part)).alias("x"), F.slice("s", F.col("c.q") * part + 1, F.lit(part)).alias("y"), "c")
+    long = long.repartition("b", "c").drop("c")
+    each = sets.filter(F.size("s") <= part).select("b", F.col("s").alias("x"), F.col("s").alias("y")).unionByName(long)
+    each = each.select("b", F.explode("x").alias("a"), "y").select("b", "a", F.explode(F.filter("y", lambda z: z["i"] > F.col("a.i"))).alias("z"))
+    return each.select("b", F.col("a.i").alias("source_id"), F.col("z.i").alias("target_id"), F.col("a.e").alias("source_evidence"), F.col("z.e").alias("target_evidence"))
+
+
+def cooccurring_pairs(baskets: DataFrame, *, basket: str, owner: str, items: str, least: int = 1) -> DataFrame:
+    """(source_id, target_id, support_jobs, support_companies): pairs of items in baskets.
+
+    An item counts once per basket, an owner once per pair, however many baskets and owners of
+    a basket there are. Items held by fewer than `least` baskets are taken out first, which
+    changes no result; pairs are summed before they are shuffled.
+    """
+    own = item_rows(baskets, basket=basket, items=items)
     if least > 1:
-        common = own.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-        own = own.join(common, "i", "left_semi")
-    sets = own.groupBy("b").agg(F.max("o").alias("o"), F.sort_array(F.collect_list("i")).alias("s"))
-    index = F.sequence(F.lit(1), F.size("s") - 1)
-    pairs = F.flatten(F.transform(index, lambda k: F.transform(F.slice("s", k + 1, F.size("s")), lambda y: F.struct(F.element_at("s", k).alias("source_id"), y.alias("target_id")))))
-    each = sets.filter(F.size("s") > 1).select("b", "o", F.explode(pairs).alias("p")).select("b", "o", "p.*")
-    counted = each.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("support_jobs"), F.countDistinct("o").alias("support_companies"), F.min("b").alias("first"))
+        own = own.join(own.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), "i", "left_semi")
+    owners = baskets.filter(F.col(basket).isNotNull()).groupBy(F.col(basket).alias("b")).agg(F.sort_array(F.collect_set(owner)).alias("o"))
+    told = pair_rows(own).select("b", "source_id", "target_id").join(owners, "b").select("source_id", "target_id", F.posexplode_outer("o").alias("k", "o"))
+    # in two steps, so that no pair's owners are gathered
+    each = told.groupBy("source_id", "target_id", "o").agg(F.count_if(F.coalesce("k", F.lit(0)) == 0).alias("jobs"))
+    counted = each.groupBy("source_id", "target_id").agg(F.sum("jobs").alias("support_jobs"), F.count("o").alias("support_companies"))
     return counted.filter(F.col("support_jobs") >= least)
 
 
+def pair_evidence(baskets: DataFrame, pairs: DataFrame, *, basket: str, items: str, evidence: str, most: int = 3) -> DataFrame:
+    """(source_id, target_id, evidence): for some pairs, the first baskets by id that bear out both items, with both texts."""
+    wanted = pairs.select("source_id", "target_id").distinct()
+    needed = wanted.select(F.explode(F.array("source_id", "target_id")).alias("i")).distinct()
+    own = item_rows(baskets, basket=basket, items=items, evidence=evidence).filter("e is not null").join(needed, "i", "left_semi")
+    met = pair_rows(own).join(wanted, ["source_id", "target_id"], "left_semi")
+    first = met.withColumn("n", F.row_number().over(Window.partitionBy("source_id", "target_id").orderBy("b"))).filter(F.col("n") <= most)
+    entry = F.struct(F.col("b").cast("string").alias("basket"), "source_evidence", "target_evidence")
+    return first.groupBy("source_id", "target_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", entry.alias("x")))), lambda r: r["x"]).alias("evidence"))
+
+
 def association(pairs: DataFrame, *, jobs: Column, n: Column, n_source: Column, n_target: Column) -> DataFrame:
-    """Pairs with p, lift, pmi and npmi, to 6 decimals."""
+    """Pairs with p, lift, pmi and npmi."""
     p = jobs / n
     lift = n * jobs / (n_source * n_target)
     npmi = F.when(p >= 1, 1.0).otherwise(F.ln(lift) / -F.ln(p))
-    return pairs.select("*", F.round(p, 6).alias("p"), F.round(lift, 6).alias("lift"), F.round(F.ln(lift), 6).alias("pmi"), F.round(npmi, 6).alias("npmi"))
+    return pairs.select("*", p.alias("p"), lift.alias("lift"), F.ln(lift).alias("pmi"), npmi.alias("npmi"))
 
 
 def association_confidence(npmi: Column, lift: Column, jobs: Column, least_npmi: float = 0.15, least_lift: float = 2.0) -> Column:
@@ -95,35 +127,49 @@ def association_confidence(npmi: Column, lift: Column, jobs: Column, least_npmi:
     return F.round(0.6 * clip((npmi - least_npmi) / (1 - least_npmi)) + 0.3 * clip((lift - least_lift) / 8.0) + 0.1 * F.least(jobs / 100.0, F.lit(1.0)), 6)
 
 
-def relation_candidates(baskets: DataFrame, *, basket: str, owner: str, items: str, least_jobs: int = 20, least_companies: int = 5, least_lift: float = 2.0, least_npmi: float = 0.15, neighbours: int = 20) -> DataFrame:
-    """Pairs that clearly exceed chance and are among each other's nearest."""
+def relation_candidates(
+    baskets: DataFrame, *, basket: str, owner: str, items: str, evidence: str | None = None, least_jobs: int = 20, least_companies: int = 5, least_lift: float = 2.0, least_npmi: float = 0.15, neighbours: int = 20
+) -> DataFrame:
+    """Pairs that clearly exceed chance and are among each other's nearest; lift and npmi to 8 decimals, judged before they are rounded.
+
+    evidence: a map column item -> text; then each pair comes with the first three baskets that
+    bear it out.
+    """
     total = baskets.select(basket).filter(F.col(basket).isNotNull()).distinct().count()
-    counts = baskets.filter(F.col(basket).isNotNull()).select(F.col(basket).alias("b"), F.explode(items).alias("i")).filter("i is not null and trim(i) <> ''").groupBy("i").agg(F.countDistinct("b").alias("n"))
-    counts = cut_lineage(counts, "counts")
-    pairs = cooccurring_pairs(baskets, basket=basket, owner=owner, items=items, least=least_jobs).drop("first")
+    counts = cut_lineage(item_rows(baskets, basket=basket, items=items).groupBy("i").agg(F.count(F.lit(1)).alias("n")), "counts")
+    pairs = cooccurring_pairs(baskets, basket=basket, owner=owner, items=items, least=least_jobs)
     both = pairs.join(counts.select(F.col("i").alias("source_id"), F.col("n").alias("n_source")), "source_id").join(counts.select(F.col("i").alias("target_id"), F.col("n").alias("n_target")), "target_id")
     scored = association(both, jobs=F.col("support_jobs").cast("double"), n=F.lit(float(total)), n_source=F.col("n_source"), n_target=F.col("n_target"))
     strong = scored.filter((F.col("support_companies") >= least_companies) & (F.col("lift") >= least_lift) & (F.col("npmi") >= least_npmi))
     sure = strong.withColumn("confidence", association_confidence(F.col("npmi"), F.col("lift"), F.col("support_jobs"), least_npmi, least_lift))
-    sure = cut_lineage(sure.select("source_id", "target_id", "support_jobs", "support_companies", "lift", "npmi", "confidence"), "relations")
-    return mutual_neighbours(sure, neighbours, source="source_id", target="target_id", order=["confidence", "npmi", "lift", "support_jobs"])
+    sure = cut_lineage(sure.select("source_id", "target_id", "support_jobs", "support_companies", F.round("lift", 8).alias("lift"), F.round("npmi", 8).alias("npmi"), "confidence"), "relations")
+    near = mutual_neighbours(sure, neighbours, source="source_id", target="target_id", order=["confidence", "npmi", "lift", "support_jobs"])
+    if evidence is None:
+        return near
+    near = cut_lineage(near, "neighbours")
+    return near.join(pair_evidence(baskets, near, basket=basket, items=items, evidence=evidence), ["source_id", "target_id"], "left")
 
 
-def cap_degrees(edges: DataFrame, cap: int, *, order: Sequence[Column], bound: int = 2_000_000) -> tuple[list, list]:
+def cap_degrees(edges: DataFrame, cap: int, *, order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) edges, taken in order until an end has `cap` edges.
 
-    The rule is sequential: whether an edge is taken depends on all before it, so that the
-    edges (published relations, bounded) are walked through on the driver. After mutual
-    neighbours of at most `cap` it rejects nothing and isn't needed.
+    The rule is sequential, but an edge doesn't have to wait for all before it: it is taken as
+    soon as it stands, among the undecided edges of either end, within what that end may still
+    take, and rejected as soon as an end may take none. So each round decides many edges, and
+    the first in order at the least; after mutual neighbours of at most `cap` one round does.
     """
-    degree: dict = {}
-    accepted, rejected = [], []
-    for e in bounded_rows(edges.orderBy(*order, "source_id", "target_id"), bound, "the edges"):
-        full = any(degree.get(x, 0) >= cap for x in (e.source_id, e.target_id))
-        (rejected if full else accepted).append(e)
-        if not full:
-            for x in (e.source_id, e.target_id):
-                degree[x] = degree.get(x, 0) + 1
+    columns = edges.columns
+    undecided = cut_lineage(edges, "undecided")
+    accepted = rejected = undecided.limit(0)
+    while not undecided.isEmpty():
+        used = accepted.select(F.explode(F.array("source_id", "target_id")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("used"))
+        ends = undecided.withColumn("v", F.explode(F.array("source_id", "target_id")))
+        ends = ends.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy(*order, "source_id", "target_id"))).join(used, "v", "left").withColumn("room", F.lit(cap) - F.coalesce("used", F.lit(0)))
+        judged = ends.groupBy("source_id", "target_id").agg(F.bool_and(F.col("place") <= F.col("room")).alias("fits"), F.bool_or(F.col("room") <= 0).alias("full"))
+        judged = cut_lineage(undecided.join(judged, ["source_id", "target_id"]).select(*columns, "fits", "full"), "judged")
+        accepted = cut_lineage(accepted.unionByName(judged.filter("fits").select(*columns)), "accepted")
+        rejected = rejected.unionByName(judged.filter("full").select(*columns))
+        undecided = judged.filter("not fits and not full").select(*columns)
     return accepted, rejected
 
 

@@ -8,12 +8,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lodestream.session import bounded_rows
-
 
 def tree_score(node: dict, values: np.ndarray, index: dict[str, int]) -> np.ndarray:
     """One tree's leaf for every row; values and thresholds are compared in single precision, less goes to yes."""
@@ -87,22 +85,28 @@ def _lambdas(score: np.ndarray, label: np.ndarray, group: np.ndarray) -> tuple[n
     return g, h
 
 
-def fit_lambdamart(df: DataFrame, *, group: str, label: str, features: Sequence[str], trees: int = 50, depth: int = 4, rate: float = 0.1, bins: int = 64, least: int = 20, l2: float = 1.0, sample_groups: int = 20_000, max_group: int = 1_000) -> dict:
-    """A portable ranking model from a bounded sample: the sample_groups groups of least hash.
+def fit_lambdamart(df: DataFrame, *, group: str, label: str, features: Sequence[str], trees: int = 50, depth: int = 4, rate: float = 0.1, bins: int = 64, least: int = 20, l2: float = 1.0, sample_groups: int = 5_000, group_rows: int = 200) -> dict:
+    """A portable ranking model from a bounded sample: of the sample_groups groups of least hash up to group_rows rows each.
 
-    Both bounds are parameters; groups of more than max_group rows are left out of the
-    sample. Without rows the model is a constant.
+    Both bounds are parameters, so that the sample has at most sample_groups * group_rows rows,
+    which reach the driver as Arrow columns. Of a larger group its best row and rows drawn by
+    hash are taken. Groups without a positive label teach nothing. Without rows the model is a
+    constant.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), F.max(label).alias("__best")).filter((F.col("__n") <= max_group) & (F.col("__best") > 0))
+    sizes = df.groupBy(group).agg(F.max(label).alias("__best")).filter(F.col("__best") > 0)
     chosen = sizes.orderBy(F.xxhash64(group), group).limit(sample_groups).select(group)
     columns = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
-    rows = bounded_rows(df.join(chosen, group, "left_semi").select(F.col(group).cast("string").alias("g"), F.coalesce(F.col(label), F.lit(0)).cast("double").alias("y"), *columns), sample_groups * max_group, "the training sample")
+    rows = df.join(chosen, group, "left_semi").select(F.col(group).cast("string").alias("g"), F.coalesce(F.col(label), F.lit(0)).cast("double").alias("y"), *columns)
+    best = (F.row_number().over(Window.partitionBy("g").orderBy(F.desc("y"), F.xxhash64("y", *features))) > 1).alias("__later")
+    drawn = Window.partitionBy("g").orderBy("__later", F.xxhash64("y", *features), "y", *features)
+    rows = rows.select("*", best).withColumn("__n", F.row_number().over(drawn)).filter(F.col("__n") <= group_rows).drop("__n", "__later")
+    rows = [tuple(r) for r in zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True)]
     model = {"features": list(features), "base": 0.0, "trees": []}
     if not rows:
         return model
     rows.sort()
-    y, x = np.array([r.y for r in rows]), np.array([tuple(r)[2:] for r in rows])
-    names = np.array([r.g for r in rows])
+    y, x = np.array([r[1] for r in rows]), np.array([r[2:] for r in rows])
+    names = np.array([r[0] for r in rows])
     starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]]))
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     # a threshold just above each edge: smaller values go to yes in single precision, too

@@ -314,11 +314,15 @@ def corpus_inventory(spark: SparkSession, base: str) -> DataFrame:
     return aggs.inventory(load(spark, base, "job_posting"), time="loaded_at", cutoff=CUTOFF)
 
 
-@query("""with h as (select sha256(concat_ws(chr(31), cast(node_id as varchar), coalesce(label, chr(0)), coalesce(node_type, chr(0)))) as h, count(*) as n from skill_node group by 1),
-f as (select cast(concat('0x', substr(h, 1, 8)) as bigint) % 4096 as part, sha256(string_agg(concat(h, ':', n), '|' order by concat(h, ':', n))) as d, sum(n) as n from h group by 1)
-select sha256(string_agg(concat(part, ':', d), '|' order by concat(part, ':', d))) as digest, cast(sum(n) as bigint) as records from f""")
+SUMS = ", ".join(f"cast(coalesce(sum(cast(cast(concat('0x', substr(h, {15 * i + 1}, 15)) as bigint) as hugeint)), 0) as varchar) as s{i}" for i in range(4))
+
+
+@query(f"""with h as (select sha256(concat_ws(chr(31), {", ".join(f"coalesce(cast({c} as varchar), chr(0))" for c in ("doc_id", "text", "lang", "source", "n_chars", "organ_no", "job_no", "epoch_us(created_at)"))})) as h from documents),
+s as (select {SUMS}, count(*) as records from h) select sha256(concat_ws(':', s0, s1, s2, s3, cast(records as varchar))) as digest, records from s""")
 def content_digest(spark: SparkSession, base: str) -> DataFrame:
-    return aggs.digest(load(spark, base, "skill_node"), ["node_id", "label", "node_type"])
+    """A hash of the documents' content, whatever their order."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars", "organ_no", "job_no", "created_at"]
+    return aggs.digest(load(spark, base, "documents").withColumn("created_at", micros(F.col("created_at"))), columns)
 
 
 @query("select count(value) as n, percentile_disc(0.5) within group (order by value) as p50, percentile_disc(0.95) within group (order by value) as p95, percentile_disc(0.99) within group (order by value) as p99 from events")

@@ -97,29 +97,33 @@ def missing_endpoints(spark: SparkSession, base: str) -> DataFrame:
     return joins.missing_endpoints(job_edges(spark, base), nodes, ends=["source_id", "target_id"], node="id")
 
 
-PAIRS = """own as (select distinct job_id, skill from (select job_id, unnest(skills) as skill from skill_basket where job_id is not null) where skill is not null and trim(skill) <> ''),
-comp as (select job_id, max(company_id) as company from skill_basket group by 1), total as (select count(distinct job_id)::double as n from skill_basket where job_id is not null), single as (select skill, count(*) as n from own group by 1),
-pairs as (select a.skill as source_id, b.skill as target_id, count(*) as support_jobs, count(distinct c.company) as support_companies from own a join own b on a.job_id = b.job_id and a.skill < b.skill join comp c on c.job_id = a.job_id group by all),
-scored as (select source_id, target_id, support_jobs, support_companies, round(t.n * support_jobs / (x.n * y.n::double), 6) as lift, round(case when support_jobs >= t.n then 1 else ln(t.n * support_jobs / (x.n * y.n::double)) / -ln(support_jobs / t.n) end, 6) as npmi from pairs join single x on x.skill = source_id join single y on y.skill = target_id cross join total t where support_jobs >= {least}),
-rel as (select *, round(0.6::double * greatest(0, least(1, (npmi - 0.15) / (1 - 0.15::double))) + 0.3::double * greatest(0, least(1, (lift - {lift}) / 8.0::double)) + 0.1::double * least(support_jobs / 100.0::double, 1), 6) as confidence from scored where support_companies >= {companies} and lift >= {lift} and npmi >= 0.15),
+PAIRS = """own as (select job_id, skill, min(nullif(evidence, '')) as evidence from (select job_id, skill, list_extract(map_extract(skill_evidence, skill), 1) as evidence from (select job_id, skill_evidence, unnest(skills) as skill from skill_basket where job_id is not null)) where skill is not null and trim(skill) <> '' group by all),
+comp as (select distinct job_id, company_id as company from skill_basket), total as (select count(distinct job_id)::double as n from skill_basket where job_id is not null), single as (select skill, count(*) as n from own group by 1),
+pairs as (select a.skill as source_id, b.skill as target_id, count(distinct a.job_id) as support_jobs, count(distinct c.company) as support_companies from own a join own b on a.job_id = b.job_id and a.skill < b.skill join comp c on c.job_id = a.job_id group by all),
+scored as (select source_id, target_id, support_jobs, support_companies, t.n * support_jobs / (x.n * y.n::double) as lift, case when support_jobs >= t.n then 1 else ln(t.n * support_jobs / (x.n * y.n::double)) / -ln(support_jobs / t.n) end as npmi from pairs join single x on x.skill = source_id join single y on y.skill = target_id cross join total t where support_jobs >= {least}),
+rel as (select source_id, target_id, support_jobs, support_companies, round(lift, 8) as lift, round(npmi, 8) as npmi, round(0.6::double * greatest(0, least(1, (npmi - 0.15) / (1 - 0.15::double))) + 0.3::double * greatest(0, least(1, (lift - {lift}) / 8.0::double)) + 0.1::double * least(support_jobs / 100.0::double, 1), 6) as confidence from scored where support_companies >= {companies} and lift >= {lift} and npmi >= 0.15),
 ends as (select *, unnest([source_id, target_id]) as e from rel), ranked as (select *, row_number() over (partition by e order by confidence desc, npmi desc, lift desc, support_jobs desc, source_id, target_id) as k from ends),
 mutual as (select source_id, target_id from ranked where k <= 3 group by all having count(*) = 2)"""
 FEW = PAIRS.replace("{least}", "5").replace("{companies}", "2").replace("{lift}", "1.5::double")
 
 
-def _relations(spark: SparkSession, base: str) -> DataFrame:
-    return graph.relation_candidates(load(spark, base, "skill_basket"), basket="job_id", owner="company_id", items="skills", least_jobs=5, least_companies=2, least_lift=1.5, neighbours=3)
+def _relations(spark: SparkSession, base: str, evidence: str | None = None) -> DataFrame:
+    return graph.relation_candidates(load(spark, base, "skill_basket"), basket="job_id", owner="company_id", items="skills", evidence=evidence, least_jobs=5, least_companies=2, least_lift=1.5, neighbours=3)
 
 
-@query(f"with {FEW} select rel.* from rel join mutual using (source_id, target_id)")
+@query(f"""with {FEW}, r as (select rel.* from rel join mutual using (source_id, target_id)),
+e as (select source_id, target_id, a.job_id, a.evidence as x, b.evidence as y, row_number() over (partition by source_id, target_id order by a.job_id) as n from r join own a on a.skill = source_id join own b on b.skill = target_id and b.job_id = a.job_id where a.evidence is not null and b.evidence is not null),
+t as (select source_id, target_id, string_agg(concat(job_id, '=', x, '+', y), '|' order by n) as evidence from e where n <= 3 group by all)
+select r.*, coalesce(evidence, '') as evidence from r left join t using (source_id, target_id)""")
 def relation_candidates(spark: SparkSession, base: str) -> DataFrame:
-    """Pairs of skills that exceed chance and are among each other's nearest."""
-    return _relations(spark, base)
+    """Pairs of skills that exceed chance and are among each other's nearest, with the postings that bear them out."""
+    told = F.transform(F.coalesce("evidence", F.array().cast("array<struct<basket:string,source_evidence:string,target_evidence:string>>")), lambda x: F.concat(x["basket"], F.lit("="), x["source_evidence"], F.lit("+"), x["target_evidence"]))
+    return _relations(spark, base, "skill_evidence").withColumn("evidence", F.array_join(told, "|"))
 
 
-@query(f"with {PAIRS.split('single as')[0].rstrip().rstrip(',')}, pairs as (select a.skill as source_id, b.skill as target_id, count(*) as support_jobs, count(distinct c.company) as support_companies, min(a.job_id) as first from own a join own b on a.job_id = b.job_id and a.skill < b.skill join comp c on c.job_id = a.job_id group by all) select * from pairs")
+@query(f"with {PAIRS.split('scored as')[0].rstrip().rstrip(',')} select * from pairs")
 def cooccurring_pairs(spark: SparkSession, base: str) -> DataFrame:
-    """Pairs of skills with their supports and first evidence."""
+    """Pairs of skills with their supports."""
     return graph.cooccurring_pairs(load(spark, base, "skill_basket"), basket="job_id", owner="company_id", items="skills")
 
 

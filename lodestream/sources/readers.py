@@ -9,10 +9,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 CORRUPT = "_corrupt_record"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, *, multiline: bool = True) -> DataFrame:
-    """A file with a header, quoted texts that may hold line ends, doubled quotes, and a mark of its encoding or none.
+def read_csv(spark: SparkSession, path: str, schema: StructType, *, multiline: bool = False) -> DataFrame:
+    """A file with a header, quoted texts, doubled quotes, and a mark of its encoding or none.
 
-    Nothing is null: an absent value is '', and what else says "nothing" is up to the caller.
+    Such a file is read by many tasks. Only where quoted texts hold line ends, which the
+    caller says by multiline, one task reads a whole file.     Nothing is null: an absent value is '', and what else says "nothing" is up to the caller.
     """
     reader = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
     rows = reader.option("multiLine", multiline).option("enforceSchema", True).option("emptyValue", "").csv(path)

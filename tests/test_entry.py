@@ -60,3 +60,26 @@ def test_no_row_is_left_out(spark):
     assert places.count() == postings.count()
     cityless = postings.filter("`工作城市` is null").select("posting_row_id")
     assert {r.place for r in places.join(cityless, "posting_row_id").collect()} == {-1.0}
+
+
+@needs_data
+def test_features_dont_know_their_own_day(spark, tmp_path):
+    """Reactions of a day are taken away: that day's labels change, its features don't, those of later days do."""
+    from lodestream.plans.ranking_queries import _behaviour
+
+    names = ("user_search_log", "job_view", "job_apply", "job_posting")
+    at = {"job_view": "dateIn", "job_apply": "datein"}
+    for n in names:
+        df = spark.read.parquet(f"{BASE}/{n}.parquet")
+        df.filter(f"to_date({at[n]}) <> date'2026-04-12'" if n in at else "true").write.parquet(f"{tmp_path}/{n}.parquet")
+    days = spark.read.parquet(f"{BASE}/user_search_log.parquet").selectExpr("search_id", "to_date(search_time) as day").distinct()
+    told = []
+    for base in (BASE, str(tmp_path)):
+        rows = _behaviour(spark, base).join(days, "search_id").collect()
+        told.append({(r.search_id, r.place, r.posting): (str(r.day), r.grade, tuple(v for k, v in r.asDict().items() if k not in ("search_id", "place", "posting", "grade", "day"))) for r in rows})
+    whole, less = told
+    assert whole.keys() == less.keys()
+    same_day = [(whole[k], less[k]) for k in whole if whole[k][0] == "2026-04-12"]
+    assert any(a[1] != b[1] for a, b in same_day) and all(a[2] == b[2] for a, b in same_day)
+    assert all(whole[k][2] == less[k][2] for k in whole if whole[k][0] < "2026-04-12")
+    assert any(whole[k][2] != less[k][2] for k in whole if whole[k][0] > "2026-04-13")

@@ -139,15 +139,30 @@ def test_mentions(spark):
 
 
 def test_relations_of_a_small_graph(spark):
-    rows = [(f"j{i}", f"c{i % 6}", ["a", "b", None]) for i in range(20)] + [(f"n{i}", "c", [f"x{i}"]) for i in range(80)]
-    df = spark.createDataFrame(rows, "job string, company string, skills array<string>")
-    found = graph.relation_candidates(df, basket="job", owner="company", items="skills").collect()
+    rows = [(f"j{i:02d}", f"c{i % 6}", ["a", "b", None], {"a": f"A-{i}", "b": f"B-{i}" if i else ""}) for i in range(20)] + [(f"n{i}", "c", [f"x{i}"], None) for i in range(80)]
+    df = spark.createDataFrame(rows, "job string, company string, skills array<string>, said map<string,string>")
+    found = graph.relation_candidates(df, basket="job", owner="company", items="skills", evidence="said").collect()
+    assert [tuple(x) for x in found[0].evidence] == [(f"j{i:02d}", f"A-{i}", f"B-{i}") for i in (1, 2, 3)]
+    long = spark.createDataFrame([("j", "x", [f"s{i}" for i in range(1200)]), ("j", "y", None), ("k", None, ["s1", "s2"])], "job string, company string, skills array<string>")
+    pairs = graph.cooccurring_pairs(long, basket="job", owner="company", items="skills")
+    sums = pairs.agg(F.count("*"), F.sum("support_jobs"), F.min("support_companies"), F.max("support_companies")).first()
+    assert tuple(sums) == (1200 * 1199 // 2, 1200 * 1199 // 2 + 1, 2, 2)
     assert [(r.source_id, r.target_id, r.support_jobs, r.support_companies, r.lift, r.npmi) for r in found] == [("a", "b", 20, 6, 5.0, 1.0)]
     assert found[0].confidence == pytest.approx(0.6 + 0.3 * 3 / 8 + 0.02)
     assert graph.relation_candidates(df.limit(0), basket="job", owner="company", items="skills").count() == 0
     spokes = spark.createDataFrame([("hub", f"s{i:02d}", 1.0 - i / 100) for i in range(25)], "source_id string, target_id string, confidence double")
     accepted, rejected = graph.cap_degrees(spokes, 20, order=[F.desc("confidence")])
-    assert (len(accepted), len(rejected), accepted[0].target_id) == (20, 5, "s00")
+    assert (accepted.count(), {r.target_id for r in rejected.collect()}) == (20, {f"s{i}" for i in range(20, 25)})
+    rng = random.Random(5)
+    some = list({tuple(sorted(rng.sample(range(14), 2))) for _ in range(60)})
+    weights = [(f"v{a:02d}", f"v{b:02d}", rng.choice([0.5, 0.7, rng.random()])) for a, b in some]
+    degree, want = {}, set()
+    for a, b, _ in sorted(weights, key=lambda e: (-e[2], e[0], e[1])):
+        if max(degree.get(a, 0), degree.get(b, 0)) < 3:
+            want.add((a, b))
+            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    accepted, rejected = graph.cap_degrees(spark.createDataFrame(weights, "source_id string, target_id string, confidence double"), 3, order=[F.desc("confidence")])
+    assert {(r.source_id, r.target_id) for r in accepted.collect()} == want and rejected.count() == len(weights) - len(want)
 
 
 def test_ids_and_resolution(spark):

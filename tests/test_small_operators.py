@@ -31,8 +31,8 @@ def test_candidates_in_order(spark):
     df = spark.createDataFrame([("c", "b", 0, 2), ("c", "a", 1, 3), ("c", "b", 2, 9), ("c", "z", 0, 1), ("d", "a", 0, 1)], "c string, item string, y int, t int")
     cut = {r.c: (r.candidates, r.grades) for r in aggs.case_candidates(df, case=["c"], item="item", grade="y", order=["t"], most=2).collect()}
     assert cut == {"c": (["z", "b"], {"z": 0, "b": 2}), "d": (["a"], {"a": 0})}
-    free = {r.c: r.grades for r in aggs.case_candidates(df, case=["c"], item="item", grade="y", order=["t"], most=2, restrict=False).collect()}
-    assert free["c"] == {"z": 0, "b": 2, "a": 1}
+    every = aggs.grades_of_items(df, case=["c"], item="item", grade="y", order=["t"])
+    assert {(r.c, r.item, r.y, r.place) for r in every.collect()} == {("c", "z", 0, 1), ("c", "b", 2, 2), ("c", "a", 1, 3), ("d", "a", 0, 1)}
     assert rows(aggs.group_sizes(df, "c"), "c", "rows") == [("c", 4), ("d", 1)]
 
 

@@ -15,10 +15,23 @@ from lodestream.streaming import jobs
 PAIRS = "query_id string, job_id string, label int, exposure_rank int"
 
 
+def test_csv_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    path.write_text("\ufeffCodeNo,CodeNameA,CodeNameB,CodeNameC\n" + "".join(f'{i},"a ""{i}"", c",,z\n' for i in range(40_000)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = readers.read_csv(spark, str(path), schemas.DUTY_CODES)
+        assert rows.rdd.getNumPartitions() > 3 and rows.distinct().count() == 40_000
+        assert tuple(rows.filter("CodeNo = '777'").first()) == ("777", 'a "777", c', "", "z")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_csv(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('\ufeffCodeNo,CodeNameA,CodeNameB,CodeNameC\n1,"a ""b"", c","x\ny",\n2,NULL,無,z\n', encoding="utf-8")
-    rows = readers.read_csv(spark, str(path), schemas.DUTY_CODES).orderBy("CodeNo").collect()
+    rows = readers.read_csv(spark, str(path), schemas.DUTY_CODES, multiline=True).orderBy("CodeNo").collect()
     assert [tuple(r) for r in rows] == [("1", 'a "b", c', "x\ny", ""), ("2", "NULL", "無", "z")]
     lookup = {r.code: r.names for r in readers.code_lookup(spark.createDataFrame(rows, schemas.DUTY_CODES), "CodeNo", ["CodeNameA", "CodeNameB", "CodeNameC"]).collect()}
     assert lookup["2"] == ["NULL", "z", "無"]
