@@ -16,23 +16,16 @@ from lodestream.session import cut_lineage, load
 registry = Registry()
 queries, oracle_sql, query = registry.queries, registry.oracle_sql, registry.query
 
-TEXTS = [(1, "資料分析員 報表"), (2, "居家護理"), (3, "gridnote 課程"), (4, "冷氣安裝保養"), (5, "team booking system")]
-
-
-def _asked(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(TEXTS, "query_id int, words string")
-    return rows.select("query_id", F.explode(text.bigram_terms(F.lower("words"))).alias("term"))
-
-
-def _index(spark: SparkSession, base: str) -> tuple[DataFrame, int, float]:
-    docs = load(spark, base, "documents").filter("text is not null").select("doc_id", text.bigram_terms(F.lower("text")).alias("terms"))
-    sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("terms")), F.lit(0.0)).alias("mean")).first()
-    return retrieval.postings_index(docs, doc="doc_id", terms=F.col("terms")), sizes.n, sizes["mean"]
+def _asked(spark: SparkSession, base: str) -> DataFrame:
+    """The terms of the searches whose id is divisible by 100."""
+    rows = load(spark, base, "user_search_log").filter("search_id % 100 = 0").select(F.col("search_id").alias("query_id"), "ks").distinct()
+    return rows.select("query_id", F.explode(text.bigram_terms(F.lower("ks"))).alias("term"))
 
 
 def _bm25(spark: SparkSession, base: str, k: int) -> DataFrame:
-    index, n, mean = _index(spark, base)
-    hits = retrieval.bm25(index, _asked(spark), documents=n, mean_length=mean, least_share=0.5)
+    docs = load(spark, base, "documents").filter("text is not null").select("doc_id", "text")
+    index = retrieval.KeywordIndex(docs, doc="doc_id", terms=text.bigram_terms(F.lower("text")))
+    hits = index.search(_asked(spark, base), least_share=0.5)
     return retrieval.top_per_query(hits.withColumn("score", F.round("score", 6)), k)
 
 
@@ -42,7 +35,7 @@ def _terms_sql(source: str, key: str, column: str) -> str:
     from (select {key}, unnest(regexp_extract_all(lower({column}), '[一-鿿]+')) as r from {source}))"""
 
 
-BM25 = f"""asked as (select distinct query_id, term from {_terms_sql("(values " + ", ".join(f"({i}, '{t}')" for i, t in TEXTS) + ") v(query_id, words)", "query_id", "words")}),
+BM25 = f"""asked as (select distinct query_id, term from {_terms_sql("(select distinct search_id as query_id, ks as words from user_search_log where search_id % 100 = 0)", "query_id", "words")}),
 t as (select doc_id, term from {_terms_sql("(select doc_id, text from documents where text is not null)", "doc_id", "text")}),
 len as (select d.doc_id, count(t.term) as length from (select doc_id from documents where text is not null) d left join t using (doc_id) group by 1),
 stats as (select count(*) as n, avg(length) as mean from len),
@@ -58,7 +51,7 @@ hits as (select query_id, doc, score, matched, row_number() over (partition by q
 
 @query(f"with {BM25} select query_id, doc, score, matched, rank from hits where rank <= 20")
 def bm25_topk(spark: SparkSession, base: str) -> DataFrame:
-    """The twenty best documents for each of some keyword queries."""
+    """The twenty best documents for each search whose id is divisible by 100."""
     return _bm25(spark, base, 20)
 
 
@@ -79,22 +72,22 @@ def knn_topk(spark: SparkSession, base: str) -> DataFrame:
     return _nearest(spark, base, 10).select("query_id", "id", "rank", F.round("cosine", 5).alias("cosine"))
 
 
-FUSED = f"with {BM25}, {KNN}, v as (select query_id / 100 + 1 as query_id, id as doc, rank from near where rank <= 30), k as (select * from hits where rank <= 30)"
+FUSED = f"with {BM25}, {KNN}, v as (select query_id, id as doc, rank from near where rank <= 30), k as (select * from hits where rank <= 30)"
 
 
 def _lists(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    vector = _nearest(spark, base, 30).select((F.expr("query_id div 100") + 1).cast("int").alias("query_id"), F.col("id").alias("doc"), "rank")
+    vector = _nearest(spark, base, 30).select("query_id", F.col("id").alias("doc"), "rank")
     return _bm25(spark, base, 30).select("query_id", "doc", "rank"), vector
 
 
-@query(FUSED.replace("query_id / 100", "query_id // 100") + """ select query_id, doc, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc) as rank from (
+@query(FUSED + """ select query_id, doc, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc) as rank from (
 select coalesce(k.query_id, v.query_id) as query_id, coalesce(k.doc, v.doc) as doc, coalesce(1.0::double / (k.rank + 60), 0) + coalesce(0.4::double / (v.rank + 60), 0) as score from k full join v on k.query_id = v.query_id and k.doc = v.doc)) where rank <= 40""")
 def rrf_fusion(spark: SparkSession, base: str) -> DataFrame:
     """Keyword and vector hits fused by reciprocal ranks."""
     return retrieval.reciprocal_rank_fusion(*_lists(spark, base), limit=40)
 
 
-@query(FUSED.replace("query_id / 100", "query_id // 100") + """, new as (select query_id, doc, row_number() over (partition by query_id order by rank, doc) as place from v where not exists (select 1 from k where k.query_id = v.query_id and k.doc = v.doc)),
+@query(FUSED + """, new as (select query_id, doc, row_number() over (partition by query_id order by rank, doc) as place from v where not exists (select 1 from k where k.query_id = v.query_id and k.doc = v.doc)),
 sizes as (select query_id, count(*) as n from new group by 1),
 parts as (select k.query_id, doc, case when rank <= case when least(5, coalesce(n, 0)) > 0 then greatest(1, 32 - least(5, n)) else 32 end then 0 else 2 end as part, rank as place from k left join sizes using (query_id) union all select query_id, doc, 1, place from new)
 select query_id, doc, rank from (select *, row_number() over (partition by query_id order by part, place, doc) as rank from parts) where rank <= 32""")

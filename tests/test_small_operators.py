@@ -77,6 +77,9 @@ def test_search_by_hand(spark):
     found = search.search(asked, postings, top_k=5).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.doc, r["rank"]) for r in found] == [(1, "1", 1), (1, "2", 2), (1, "3", 3)] or [(r.query_id, r.doc) for r in found] == [(1, "1"), (1, "3"), (1, "2")]
     assert found[0].why.startswith("職稱／職務文字高度吻合；地區條件吻合")
+    wide = spark.createDataFrame([(1, "ＧＲＩＤＮＯＴＥ 資料", ["甲市"], [])], "query_id int, query string, places array<string>, duties array<string>")
+    full = postings.filter("doc in ('1', '2')").withColumn("title", F.lit("Gridnote 資料"))
+    assert [(r.doc, r.lexical > 18) for r in search.search(wide, full).orderBy("rank").collect()] == [("1", True), ("2", True)]
     assert search.search(asked, postings.limit(0)).count() == 0 and search.search(asked.limit(0), postings).count() == 0
 
 
@@ -100,3 +103,14 @@ def test_names_beside_signs(spark):
     want = {(t, n) for t in texts if t for n in names if bounded(n, t.lower())}
     assert {(r.query, r.alias) for r in got} == want and len(got) == len(want)
     assert {("Gridnote/Excel", "gridnote"), ("kora-based", "kora"), ("akora script語言", "kora script語言")} <= want
+
+
+def test_search_with_wishes(spark):
+    rows = [("1", "司機", "運輸", "x", "", 5, False, 30000.0, 40000.0, "monthly"), ("2", "司機", "運輸", "x", "", 5, True, 45000.0, 50000.0, "monthly"), ("3", "司機", "運輸", "x", "", 5, False, 0.0, 0.0, "hourly")]
+    postings = spark.createDataFrame(rows, POSTINGS + ", flag boolean, low double, high double, kind string")
+    wish = "query_id int, query string, places array<string>, duties array<string>, wants_flag boolean, wanted double, wanted_kind string, exact boolean"
+    asked = spark.createDataFrame([(1, "司機", [], [], True, None, None, False), (2, "司機", [], [], False, 35000.0, "monthly", True), (3, "司機", [], [], None, None, None, None)], wish)
+    found = {(r.query_id, r.doc): (r["rank"], r.remote, r.salary) for r in search.search(asked, postings).collect()}
+    assert [found[1, d][1] for d in "123"] == [-1.4, 2.4, -1.4] and found[1, "2"][0] == 1
+    assert [found[2, d][2] for d in "123"] == [2.4, -1.4, 0.0] and found[2, "1"][0] == 1
+    assert [found[3, d] for d in "123"] == [(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 0.0, 0.0)]
