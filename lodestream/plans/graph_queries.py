@@ -35,12 +35,15 @@ def entity_resolution(spark: SparkSession, base: str) -> DataFrame:
     return graph.resolve_exactly(rows, alias_map(spark, base), surface="surface").select("surface_id", "node", "decision")
 
 
-@query(f"with {ALIASES}, o as (select alias, count(distinct node) as n, min(node) as node from aliases group by 1), m as (select distinct surface_id, node_id, {sqltext.surface('surface')} as surface from resolution) select surface_id, node_id, case when n = 1 then node end as node from m left join o on alias = surface where node_id is not null and node_id is distinct from case when n = 1 then node end")
+@query(f"""with {ALIASES}, o as (select alias, count(distinct node) as n, min(node) as node from aliases group by 1), m as (select distinct surface_id, first, {sqltext.surface('surface')} as surface from resolution join (select job_id, min(node_id) as first from resolution group by 1) using (job_id))
+select surface_id, first as claimed, case when n = 1 then node end as node from m left join o on alias = surface where first is not null and first is distinct from case when n = 1 then node end""")
 def mismatched_claims(spark: SparkSession, base: str) -> DataFrame:
-    """Resolutions whose claimed node isn't the one that the typed name has, folded without width."""
-    rows = load(spark, base, "resolution").select("surface_id", "node_id", fold(F.col("surface")).alias("surface")).distinct()
-    resolved = graph.resolve_exactly(rows, alias_map(spark, base), surface="surface")
-    return graph.mismatched_claims(resolved, claimed="node_id", node="node").select("surface_id", "node_id", "node")
+    """Typed names that don't mean the first node that their posting claims."""
+    rows = load(spark, base, "resolution").select("surface_id", "job_id", "node_id", fold(F.col("surface")).alias("surface"))
+    first = rows.groupBy("job_id").agg(F.min("node_id").alias("claimed"))
+    claims = rows.join(first, "job_id").select("surface_id", "claimed", "surface").distinct()
+    resolved = graph.resolve_exactly(claims, alias_map(spark, base), surface="surface")
+    return graph.mismatched_claims(resolved, claimed="claimed", node="node").select("surface_id", "claimed", "node")
 
 
 @query(f"with {ALIASES}, codes as (select distinct {sqltext.surface('CodeNameA')} as alias, 'duty.' || CodeNo as node from duty_code) select alias, node from aliases union all select alias, node from codes where alias not in (select alias from aliases)")
@@ -90,10 +93,10 @@ def graph_violations(spark: SparkSession, base: str) -> DataFrame:
     return graph.violations(nodes, good.unionByName(bad).withColumn("modified_at", F.lit(None).cast("timestamp_ntz")))
 
 
-@query("select 'source_id' as \"end\", job_id as id, count(distinct node_id) as edges from resolution where node_id is not null and job_id not in (select job_id from skill_basket) group by 2 union all select 'target_id', node_id, count(distinct job_id) from resolution where node_id is not null and node_id not in (select node_id from skill_node) group by 2")
+@query("select 'source_id' as \"end\", job_id as id, count(distinct node_id) as edges from resolution where node_id is not null and job_id not in (select job_id from skill_basket) group by 2 union all select 'target_id', node_id, count(distinct job_id) from resolution where node_id is not null and node_id not in (select node_id from skill_node where node_type <> 'Certificate') group by 2")
 def missing_endpoints(spark: SparkSession, base: str) -> DataFrame:
-    """Ends of edges that are in no table."""
-    nodes = load(spark, base, "skill_basket").select(F.col("job_id").alias("id")).unionByName(load(spark, base, "skill_node").select(F.col("node_id").alias("id")))
+    """Ends of edges that are in no table of postings and skills, certificates left aside."""
+    nodes = load(spark, base, "skill_basket").select(F.col("job_id").alias("id")).unionByName(load(spark, base, "skill_node").filter("node_type <> 'Certificate'").select(F.col("node_id").alias("id")))
     return joins.missing_endpoints(job_edges(spark, base), nodes, ends=["source_id", "target_id"], node="id")
 
 
