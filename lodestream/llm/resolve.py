@@ -12,10 +12,12 @@ is listed here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.session import bounded_rows, broadcast_if_small, cut_lineage
+from lodestream.session import broadcast_if_small, cut_lineage
 
 # Signs that writers put into names or leave out of them.
 SIGNS = " 　\t\r\n_・·‧•-/\\.,'`~|"
@@ -42,48 +44,84 @@ def plain(text: Column, characters: tuple[str, str]) -> Column:
     return F.regexp_replace(F.translate(folded, SIGNS, ""), r"(?U)\s+", "")
 
 
-def written_around(forms: DataFrame, names: DataFrame, *, longest: int, least_names: int, least_share: float, longest_affix: int, most: int) -> dict[str, list[str]]:
-    """What is written before and after names: side -> texts, digits as 0, the most frequent first.
+def written_around(forms: DataFrame, names: DataFrame, *, longest: int, least_names: int, least_share: float, longest_affix: int) -> DataFrame:
+    """What is written before and after names: (side, rest), digits as 0, all of it.
 
-    forms: (form), names: (name), both plain and distinct. A text counts if it is found beside
-    at least least_names different names that stand at the other end of a form (and at least
-    least_share of those that anything is found beside, so that slips of the pen, which are
-    many where texts are many, don't count), and isn't a name itself.
+    forms: (form), names: (name), both plain and distinct. A text of any length counts if it is
+    found beside at least least_names different names that stand at the other end of a form
+    (and at least least_share of those that anything of up to longest_affix letters is found
+    beside, so that slips of the pen, which are many where texts are many, don't count), and
+    isn't a name itself.
     """
     other = forms.join(names.select(F.col("name").alias("form")), "form", "left_anti")
     n = F.length("form")
-    sizes = F.sequence(F.greatest(F.lit(2), n - longest_affix), F.least(n - 1, F.lit(longest)))
-    cut = F.transform(sizes, lambda i: F.array(F.struct(F.lit("after").alias("side"), F.substring("form", F.lit(1), i).alias("name"), F.substring("form", i + 1, n - i).alias("rest")), F.struct(F.lit("before").alias("side"), F.substring("form", n - i + 1, i).alias("name"), F.substring("form", F.lit(1), n - i).alias("rest"))))
-    parts = other.filter((n > 2) & (F.greatest(F.lit(2), n - longest_affix) <= F.least(n - 1, F.lit(longest)))).select(F.inline(F.flatten(cut)))
-    beside = parts.join(broadcast_if_small(names), "name").join(names.select(F.col("name").alias("rest")), "rest", "left_anti")
+    cut = F.transform(F.sequence(F.lit(2), F.least(n - 1, F.lit(longest))), lambda i: F.array(F.struct(F.lit("after").alias("side"), F.substring("form", F.lit(1), i).alias("name")), F.struct(F.lit("before").alias("side"), F.substring("form", n - i + 1, i).alias("name"))))
+    parts = other.filter(F.least(n - 1, F.lit(longest)) >= 2).select("form", F.inline(F.flatten(cut)))
+    size = F.length("name")
+    rest = F.when(F.col("side") == "after", F.substring("form", size + 1, n - size)).otherwise(F.substring("form", F.lit(1), n - size))
+    beside = parts.join(broadcast_if_small(names), "name").select("side", rest.alias("rest"), "name").join(names.select(F.col("name").alias("rest")), "rest", "left_anti")
     beside = cut_lineage(beside.select("side", F.regexp_replace("rest", r"\d+", "0").alias("rest"), "name").distinct(), "beside")
-    least = max(least_names, least_share * beside.select("name").distinct().count())
-    counted = beside.groupBy("side", "rest").agg(F.count(F.lit(1)).alias("names")).filter(F.col("names") >= least)
-    rows = bounded_rows(counted.orderBy(F.desc("names"), "side", "rest").limit(most), most, "what is written around names")
-    return {side: [r.rest for r in rows if r.side == side] for side in ("before", "after")}
+    least = max(least_names, least_share * beside.filter(F.length("rest") <= longest_affix).select("name").distinct().count())
+    return beside.groupBy("side", "rest").agg(F.count(F.lit(1)).alias("names")).filter(F.col("names") >= least).select("side", "rest")
+
+
+def offsets(text: Column, is_one: Callable[[Column], Column], longest: Column, backwards: bool) -> Column:
+    """Every number of letters that can be taken off a text's beginning (or end) as one of the texts after another: 0, 2, ...
+
+    is_one tells whether letters (with digits as 0; from the end on if backwards) are one of the texts, of up to longest letters.
+    """
+    pieces = F.regexp_extract_all(F.reverse(text) if backwards else text, F.lit(r"(?s)(\d+|.)"), F.lit(1))
+
+    def step(done: Column, piece: Column) -> Column:
+        no, at = done["no"] + 1, done["at"] + F.length(piece)
+        recent = F.substring(F.concat(done["recent"], F.substring(F.translate(piece, "123456789", "000000000"), 1, 1)), -longest, longest)
+        begun = F.filter(done["begun"], lambda b: no - b < longest)
+        state = lambda begun, reached: F.struct(no.alias("no"), at.alias("at"), recent.alias("recent"), begun.alias("begun"), reached.alias("reached"))
+        ends = F.exists(done["begun"], lambda b: is_one(F.substring(recent, b - no, no - b)))
+        return F.when(ends, state(F.concat(begun, F.array(no)), F.concat(done["reached"], F.array(at)))).otherwise(state(begun, done["reached"]))
 
+    nothing = F.array(F.lit(0))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("no"), F.lit(0).alias("at"), F.lit("").alias("recent"), nothing.alias("begun"), nothing.alias("reached")), step, lambda done: done["reached"])
 
-def pattern(texts: list[str], backwards: bool = False) -> str:
-    """An expression for any of the texts, one after the other from where the text begins."""
-    one = lambda t: "".join(r"\d+" if c == "0" else "\\" + c if c in r"\^$.|?*+()[]{}" else c for c in (t[::-1] if backwards else t))
-    return r"\G(" + "|".join(map(one, texts)) + ")"
 
+def texts_within(typed: DataFrame, around: DataFrame) -> DataFrame:
+    """typed (text, plain) with the texts from around that occur in it: heads, tails (backwards) and the length of the longest.
 
-def offsets(text: Column, texts: list[str], backwards: bool) -> Column:
-    """How many letters can be taken off a text's beginning (or end) as one of the texts after another: 0, 2, ..."""
-    if not texts:
-        return F.array(F.lit(0))
-    ways = []
-    for order in (sorted(texts, key=lambda t: (-len(t), t)), sorted(texts, key=lambda t: (len(t), t))):
-        parts = F.split(F.regexp_replace(F.reverse(text) if backwards else text, pattern(order, backwards), "$1" + CUT), CUT)
-        taken = F.slice(parts, F.lit(1), F.size(parts) - 1)
-        ways.append(F.aggregate(taken, F.array(F.lit(0)), lambda done, part: F.concat(done, F.array(F.element_at(done, -1) + F.length(part)))))
-    return F.array_distinct(F.concat(*ways))
+    A join, so that around may have any number of rows; a row carries a stretch of a text, never a long text.
+    """
+    around = cut_lineage(around, "around")
+    longest = around.agg(F.coalesce(F.max(F.length("rest")), F.lit(1))).first()[0]
+    typed = cut_lineage(typed.select("text", "plain", F.monotonically_increasing_id().alias("id")), "numbered")
+    step = max(longest, 64)
+    digits = typed.select("id", F.regexp_replace("plain", r"\d+", "0").alias("digits")).filter("digits <> ''")
+    stretches = digits.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("digits"), F.lit(step)), lambda i: F.substring("digits", i, F.lit(step + longest - 1)))).alias("stretch"))
+    places = stretches.select("id", "stretch", F.explode(F.sequence(F.lit(1), F.least(F.length("stretch"), F.lit(step)))).alias("place"))
+    sizes = around.select(F.length("rest").alias("size")).distinct()
+    pieces = places.join(broadcast_if_small(sizes), F.col("place") + F.col("size") - 1 <= F.length("stretch")).select("id", F.substring("stretch", F.col("place"), F.col("size")).alias("rest"))
+    found = pieces.join(broadcast_if_small(around), "rest").select("id", "side", "rest").distinct()
+    heads, tails = F.when(F.col("side") == "before", F.col("rest")), F.when(F.col("side") == "after", F.reverse("rest"))
+    sets = found.groupBy("id").agg(F.collect_set(heads).alias("heads"), F.collect_set(tails).alias("tails"), F.max(F.length("rest")).alias("longest"))
+    none = F.array().cast("array<string>")
+    return typed.join(sets, "id", "left").select("text", "plain", F.coalesce("heads", none).alias("heads"), F.coalesce("tails", none).alias("tails"), F.coalesce("longest", F.lit(1)).alias("longest"))
+
+
+def left_over(typed: DataFrame, around: DataFrame, longest: int, *, most: int, longest_affix: int) -> DataFrame:
+    """Rows (text, form) from rows (text, plain): the plain text, and what is left of it as texts from around are taken off both ends, as far as it is no longer than longest.
+
+    At most `most` texts of up to longest_affix letters are looked up within an expression; if
+    there are more or longer ones, all of them are met in a join, with the same rows.
+    """
+    rows = around.select("side", F.substring("rest", 1, longest_affix + 1).alias("rest")).limit(most + 1).collect()
+    if len(rows) <= most and all(len(r.rest) <= longest_affix for r in rows):
+        before, after = [r.rest for r in rows if r.side == "before"], [r.rest[::-1] for r in rows if r.side == "after"]
 
+        def taken(texts: list[str], backwards: bool) -> Column:
+            return offsets(F.col("plain"), lambda x: x.isin(texts), F.lit(max(map(len, texts))), backwards) if texts else F.array(F.lit(0))
 
-def left_over(typed: DataFrame, around: dict[str, list[str]], longest: int) -> DataFrame:
-    """Rows (text, form) from rows (text, plain): the plain text, and what is left of it as texts from around are taken off both ends, as far as it is no longer than longest."""
-    cut = typed.select("text", "plain", offsets(F.col("plain"), around["before"], False).alias("heads"), offsets(F.col("plain"), around["after"], True).alias("tails"))
+        cut = typed.select("text", "plain", taken(before, False).alias("heads"), taken(after, True).alias("tails"))
+    else:
+        heads, tails = (offsets(F.col("plain"), lambda x, side=side: F.array_contains(side, x), F.col("longest"), side == "tails") for side in ("heads", "tails"))
+        cut = texts_within(typed, around).select("text", "plain", heads.alias("heads"), tails.alias("tails"))
 
     def between(tail: Column) -> Column:
         stop = F.length("plain") - tail
@@ -161,8 +199,10 @@ def closest_entries(
     """Distinct values of `text` with the entry they mean: (text, node_id, distance).
 
     Compared are lower-cased texts of plain width in one orthography, without signs, with and
-    without what others write around names (written_around; at most most_affixes texts of up
-    to longest_affix letters), taken off one after the other. An entry is meant if its label
+    without what others write around names (written_around: all such texts, whatever their
+    number and length), taken off one after the other in every way. Beyond most_affixes texts
+    or longest_affix letters they are looked up in another way (left_over) with the same rows;
+    longest_affix is also part of the bar that least_share sets. An entry is meant if its label
     or an alias is at most one edit away, or two that are the swap of neighbouring letters
     (from eight letters on, any two); names of one or two letters must be met exactly. Of
     several the nearest is meant, then the longest name; entries that tie are ambiguous and
@@ -176,8 +216,8 @@ def closest_entries(
 
     values = surfaces.select(F.col(text).alias("text")).filter("trim(text) <> ''").distinct().withColumn("plain", plain(F.col("text"), characters))
     values = cut_lineage(values, "typed")
-    around = written_around(values.select(F.col("plain").alias("form")).distinct(), known, longest=longest, least_names=least_names, least_share=least_share, longest_affix=longest_affix, most=most_affixes)
-    forms = left_over(values, around, longest + 2)
+    around = written_around(values.select(F.col("plain").alias("form")).distinct(), known, longest=longest, least_names=least_names, least_share=least_share, longest_affix=longest_affix)
+    forms = left_over(values, around, longest + 2, most=most_affixes, longest_affix=longest_affix)
 
     cut = known.select("name", F.inline(segments(F.col("name"))))
     probed = forms.select("form").distinct().select("form", F.inline(probes(F.col("form"))))

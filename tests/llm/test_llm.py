@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -15,7 +16,7 @@ from lodestream.llm import cooccur, leak, mix, quality
 from lodestream.llm.cooccur import pair_supports
 from lodestream.llm.leak import holds_stretch, leaked_items, letters
 from lodestream.llm.nearest import nearest_in_time
-from lodestream.llm.resolve import closest_entries, unmatched
+from lodestream.llm.resolve import closest_entries, left_over, unmatched
 from lodestream.llm.sample import extend_registry, first_seen, frozen_rates, stable_sample, uniform
 
 
@@ -145,6 +146,43 @@ def test_closest_entries(spark):
     assert closest_entries(rows.limit(0), nodes, text="t", node_id="node_id", label="label", aliases="aliases").count() == 0
 
 
+def test_all_that_is_written_around_names(spark):
+    nodes = spark.createDataFrame([(f"n{i}", name, None) for i, name in enumerate(["Kora", "HM/UI", "前端介面開發"])], "node_id string, label string, aliases array<string>")
+    long = "需有五年以上獨立作業並且能夠帶領團隊之實務經驗"
+    parts = {"after": ["熟練", "操作", "第0版", long], "before": ["精", "精通", "通", "通過"]}
+    typed = {name + t.replace("0", str(i + 9)): f"n{i}" for i, name in enumerate(["Kora", "HM/UI"]) for t in parts["after"]}
+    typed |= {t + name: f"n{i}" for i, name in enumerate(["Kora", "HM/UI"]) for t in parts["before"]}
+    # 精通過 is 精 and 通過: neither the longest nor the shortest text at every step
+    typed |= {"前端介面開發" + long: "n2", "前端介面開發熟練第123版" + long + "操作": "n2", "精通過前端介面開發": "n2", "精" * 200 + "前端介面開發" + "第7版熟練" * 100: "n2"}
+    rows = spark.createDataFrame([(t,) for t in [*typed, "皮革染色", "熟練", "...", "操作" * 3000]], "t string")
+    for most, longest in ((5_000, 16), (5_000, 40), (1, 16), (1, 40), (0, 0)):
+        found = closest_entries(rows, nodes, text="t", node_id="node_id", label="label", aliases="aliases", most_affixes=most, longest_affix=longest).collect()
+        assert {r.text: (r.node_id, r.distance) for r in found} == {t: (n, 0) for t, n in typed.items()}
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_left_over_equals_brute_force(spark, most):
+    rng = random.Random(6)
+    around = {"before": ["a", "ab", "b0", "0", "bca", "😀"], "after": ["c", "bc", "0a", "a0b", "cc", "ab" * 40]}
+    typed = {"".join(rng.choice("aabbcc127😀") for _ in range(rng.randint(1, 9))) for _ in range(300)} | {"a" * 150 + "cab" + "0a7b" * 50, "ba" + "ab" * 80, "..."}
+
+    def reached(text: str, texts: list[str]) -> set[int]:
+        found, todo = set(), [0]
+        while todo:
+            found.add(at := todo.pop())
+            ends = [m.end() for t in texts if (m := re.compile(t.replace("0", r"\d+(?!\d)")).match(text, at))]
+            todo += [e for e in ends if e not in found]
+        return found
+
+    want = set()
+    for t in typed:
+        heads, tails = reached(t, around["before"]), reached(t[::-1], [x[::-1] for x in around["after"]])
+        want |= {(t, t[h : len(t) - x]) for h in heads for x in tails if 1 <= len(t) - x - h <= 6}
+    rows = spark.createDataFrame([(t, t) for t in typed], "text string, plain string")
+    got = left_over(rows, spark.createDataFrame([(s, t) for s, texts in around.items() for t in texts], "side string, rest string"), 6, most=most, longest_affix=80)
+    assert sorted((r.text, r.form) for r in got.collect()) == sorted(want) and len(want) > 500
+
+
 def edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
